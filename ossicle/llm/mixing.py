@@ -99,7 +99,7 @@ def _text(s: str) -> str:
 
 def mix(
     docs: DataFrame, weights: dict[str, float] | None = None, source_col: str = "source", id_col: str = "doc_id",
-    block_size: int = 16, temperature: float = 0.5, period: int = PERIOD, rows_a_task: int = 20_000,
+    block_size: int = 16, temperature: float = 0.5, period: int = PERIOD, rows_a_task: int = 2_000,
 ) -> DataFrame:
     """docs with the columns block, place, slot and position (bigint from 0), all rows kept.
 
