@@ -77,13 +77,13 @@ def runs(first: np.ndarray, second: np.ndarray, ends: np.ndarray, length: int, k
     """The runs of a slab of concatenated texts.
 
     first, second: two independent random 64-bit values for each symbol.  ends: where
-    each text ends.  Returns arrays (text, start, count, anchor hash, content hash): the
-    windows start, start + 1, ... start + count - 1 (places in the slab) share an anchor,
-    and the content hash covers all their symbols.
+    each text ends.  Returns arrays (text, start, count, anchor hash, content hash, lead):
+    the windows start, start + 1, ... start + count - 1 (places in the slab) share the anchor at
+    start + lead, and the content hash covers all their symbols and the lead.
     """
     n = len(first)
     if n < length:
-        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64))
+        return tuple(np.empty(0, t) for t in (np.int64, np.int64, np.int64, np.uint64, np.uint64, np.int64))
     sums = prefix(first, 0)
     grams = mix((sums[k:] - sums[:-k]) * powers(0)[1][: n - k + 1])
     low = np.uint64(SLAB - 1)
@@ -107,5 +107,6 @@ def runs(first: np.ndarray, second: np.ndarray, ends: np.ndarray, length: int, k
     count = np.diff(np.append(at, len(place)))
     start = place[at]
     text = texts[np.searchsorted(before, at, side="right") - 1] if len(at) else np.empty(0, np.int64)
-    content = mix(spans(prefix(second, 1), 1, start, start + count - 1 + length) + count.astype(np.uint64))
-    return text, start, count, grams[anchor[at]], content
+    lead = anchor[at] - start
+    content = mix(spans(prefix(second, 1), 1, start, start + count - 1 + length) + (count + (lead << 20)).astype(np.uint64))
+    return text, start, count, grams[anchor[at]], content, lead

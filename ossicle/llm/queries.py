@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, packing, quality, sharding, simhash, store, urls
+from . import mixing, neighbours, packing, quality, sharding, simhash, store, suffix, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read(spark, sf_dir, "documents"), tokenizer_path(), capacity=2048, end_id=0)
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.removed_digests(read(spark, sf_dir, "documents"), length=50)
+
+
 def op5_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.stored_documents(read(spark, sf_dir, "documents"), tokenizer_path(), end_id=2)
 
