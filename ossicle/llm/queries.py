@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neighbours, packing, quality, sharding, simhash, store, suffix, urls
+from . import fmindex, mixing, neighbours, packing, quality, sharding, simhash, store, suffix, urls
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(read(spark, sf_dir, "documents").select("doc_id"), shards=64, size=4099)
 
 
+def op7_fmindex(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fmindex.removed_digests(read(spark, sf_dir, "documents"), length=35)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 

@@ -294,7 +294,7 @@ _RUNS = "shard int, keys binary, doc binary, tag binary, start binary, count bin
 
 
 def _shard(search: Search, buckets: int, resolve: Callable):
-    """resolve(text, places) -> a group number for each window place: equal windows have equal numbers."""
+    """resolve(text, begin, count, length) -> a number for each window of the runs: equal windows have equal numbers."""
     length, dtype = search.length, np.dtype(np.uint64 if search.words else np.uint8)
 
     def run(key, table):
@@ -316,8 +316,7 @@ def _shard(search: Search, buckets: int, resolve: Callable):
         n = whole["count"][used]
         row = np.repeat(np.arange(len(used)), n)
         inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        places = begin[used][row] + inner
-        group = resolve(text, places, length)
+        group = resolve(text, begin[used], n, length)
         doc = whole["doc"][used][row]
         if search.earlier:
             smallest = np.full(group.max() + 1, np.iinfo(np.int64).max)

@@ -154,8 +154,9 @@ def _equal_bytes(differ: np.ndarray) -> np.ndarray:
     return out
 
 
-def groups(text: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
-    """A number for each place, the same where the next ``length`` bytes are the same."""
+def groups(text: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> np.ndarray:
+    """A number for each window of the runs, the same where its ``length`` bytes are the same."""
+    places = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
     order, lcp = sort(text, places, length)
     number = np.empty(len(places), np.int64)
     number[order] = np.cumsum(lcp < length) - 1
