@@ -51,8 +51,11 @@ def shape_of(path: Column) -> Column:
     return F.regexp_replace(path, r"[0-9A-Fa-f]{16,}|[0-9]+", "#")
 
 
-def _templates(shapes: DataFrame, most_children: int, depth: int) -> DataFrame:
-    """Adds template and parent to shapes (host, shape, ...); segments below ``depth`` fold into one."""
+def _templates(shapes: DataFrame, most_children: int, depth: int, work: Workspace) -> DataFrame:
+    """Adds template and parent to shapes (host, shape, ...); segments below ``depth`` fold into one.
+
+    Each level is written, as the next one's plan holds it twice.
+    """
     out = shapes.withColumn("_segs", F.split("shape", "/")).withColumns({"template": F.lit(""), "parent": F.lit("")})
     for level in range(2, depth + 2):
         seg = F.when(F.size("_segs") < level, F.lit(None)).otherwise(F.get("_segs", F.lit(level - 1)))
@@ -65,12 +68,13 @@ def _templates(shapes: DataFrame, most_children: int, depth: int) -> DataFrame:
         name = F.when(F.col("_many").isNotNull() & (F.col("_seg") != ""), "*").otherwise(F.col("_seg"))
         grown = F.when(F.col("_seg").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), name))
         out = out.withColumn("parent", F.when(F.col("_seg").isNull(), F.col("parent")).otherwise(F.col("template"))).withColumn("template", grown).drop("_many", "_seg")
+        out = work.write(out, f"level{level}")
     return out.drop("_segs")
 
 
-def _judged(found: DataFrame, most_children: int, depth: int, prior: float, z: float, reject_at: float, least_labelled: int) -> DataFrame:
+def _judged(found: DataFrame, most_children: int, depth: int, prior: float, z: float, reject_at: float, least_labelled: int, work: Workspace) -> DataFrame:
     """(host, shape, template, purity, rejected) from shapes with n, labelled and bad."""
-    named = _templates(found, most_children, depth)
+    named = _templates(found, most_children, depth, work)
     stats = named.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
     total = stats.agg(F.sum("b"), F.sum("l")).first()
     overall = (total[0] or 0) / max(total[1] or 0, 1)
@@ -110,7 +114,7 @@ def judge(
     marks = marks.groupBy("page_id").agg(F.max("bad").alias("bad"))
     shapes = rows.join(marks, "page_id", "left").groupBy("host", "shape")
     shapes = work.write(shapes.agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "shapes")
-    known = work.write(_judged(shapes, most_children, depth, prior, z, reject_at, least_labelled), "known")
+    known = work.write(_judged(shapes, most_children, depth, prior, z, reject_at, least_labelled, work), "known")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     said = F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow"))
     return rows.join(known, ["host", "shape"], "left").select("page_id", "host", "path", rule.alias("rule"), said.alias("verdict"), "template", "purity")
