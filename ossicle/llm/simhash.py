@@ -17,11 +17,13 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import repeats
+from .anchors import mix
 from .components import components
-from .work import Workspace, texts
+from .work import Workspace, sweep, texts
 
 SEED = 42
 
@@ -72,8 +74,6 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         raise ValueError("the radius must be even")
     masks = F.array(*map(F.lit, ball(radius // 2)))
     variants = distinct.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    from pyspark.sql import Window
-
     met = variants.select("fp", F.min("fp").over(Window.partitionBy("variant")).alias("v"))
     return met.where((F.col("fp") > F.col("v")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))) <= radius)).select(F.col("fp").alias("u"), "v")
 
@@ -96,3 +96,102 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
     named = work.write(labelled.join(smallest, "root").select("fp", "component_id"), "named")
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def sketches(data: bytes, words: int, tables: int, bits: int) -> tuple[bytes, list[int]]:
+    """(a digest of the lower-cased words, fingerprints of their set, one of ``bits`` bits for each table).
+
+    Near copies share nearly all words, so word sets give closer fingerprints than shingles
+    do; whether two texts are alike is decided on their shingles.
+    """
+    found = data.lower().split()
+    digest = xxhash.xxh3_128_digest(b" ".join(found))
+    digests = [xxhash.xxh64_intdigest(w, SEED + 1) for w in set(found)]
+    seeds = np.arange(1, -(-tables * bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    ones = []
+    for seed in seeds:
+        x = mix(np.array(digests, np.uint64) ^ seed)
+        spread = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        ones.append(2 * spread.sum(axis=0, dtype=np.int64) > len(x))
+    flat = np.concatenate(ones)[: tables * bits].reshape(tables, bits)
+    return digest, (flat @ (1 << np.arange(bits, dtype=np.int64))).tolist()
+
+
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    return np.unique(shingle_hashes(data, words))
+
+
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, bits: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, doc, tag, root): rows by id and text, with the group that near copies form.
+
+    Texts of the same lower-cased words are one.  Different ones are candidates if in one of
+    the tables their fingerprints differ in two bits at most, by ball hashing, and alike if
+    the Jaccard similarity of their word shingles is at least ``similarity``.  Candidates of
+    a ball go to its first text, not to each other; several tables make up for links lost so.
+    """
+    spark = docs.sparkSession
+    work = Workspace(spark, "alike")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [sketches(x.as_py(), words, tables, bits) for x in batch.column(3)]
+            digests, prints = zip(*found) if found else ([], [])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(digests, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "doc", "tag", "digest", "prints"])
+
+    keyed = repeats.keyed(docs, id_col, text_col)
+    rows = work.write(keyed.mapInArrow(run, "doc_id long, doc long, tag long, digest binary, prints array<long>"), "rows")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "tag", "prints"))
+    texts_ = rows.groupBy("digest").agg(first.alias("own")).select("digest", "own.*").withColumn("node", F.monotonically_increasing_id())
+    nodes = work.write(texts_, "nodes")
+    prints = nodes.select("node", F.posexplode("prints").alias("t", "fp")).withColumn("fp", F.col("fp").bitwiseOR(F.shiftleft(F.col("t").cast("long"), bits))).drop("t")
+    prints = work.write(prints, "prints")
+    centres = prints.groupBy("fp").agg(F.min("node").alias("v"))
+    same = prints.join(centres, "fp").where("node > v").select(F.col("node").alias("u"), "v")
+    masks = F.array(*(F.lit(m) for m in [0, *(1 << b for b in range(bits))]))
+    variants = centres.select("v", F.explode(masks).alias("mask"), "fp").select(F.col("v").alias("u"), F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    met = variants.select("u", F.min("u").over(Window.partitionBy("variant")).alias("v")).where("u > v")
+    pairs = work.write(same.unionByName(met).distinct(), "pairs")
+    sweep(spark)
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc", "tag")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = [shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
+
+    texts_of = keyed.join(wanted, ["doc", "tag"]).select("node", "data")
+    shingles = work.write(texts_of.mapInArrow(sets, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
+    both = pairs.join(shingles.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(shingles.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for a, b in zip(batch.column(2), batch.column(3)):
+                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
+                common = len(np.intersect1d(a, b, assume_unique=True))
+                keep.append(common >= similarity * (len(a) + len(b) - common))
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    edges = both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+    roots = components(work.write(edges, "edges"), work).withColumnsRenamed({"u": "node", "v": "root"})
+    grouped = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
+    return rows.select("doc_id", "doc", "tag", "digest").join(work.write(grouped, "grouped"), "digest").drop("digest")
+
+
+def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
+    """docs with one row of each group of near copies: that of the smallest id, null ids last.
+
+    Of rows with one id, that of the smallest hash of its text stays, and one of rows that are equal in both.
+    """
+    work = Workspace(docs.sparkSession, "near-copies")
+    groups = alike(docs, words, similarity, id_col=id_col, text_col=text_col, **more)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "tag"))
+    winners = groups.groupBy("root").agg(best.alias("own")).select("own.doc", "own.tag", "own.none")
+    counted = groups.groupBy("doc", "tag", F.col("doc_id").isNull().alias("none")).agg(F.count("*").alias("n"))
+    winners = work.write(winners.join(counted, ["doc", "tag", "none"]), "winners")
+    key = repeats.keyed(docs.select(F.col(id_col), F.col(text_col), F.struct(*docs.columns).alias("_row")), id_col, text_col, ["_row"])
+    chosen = key.join(winners, ["doc", "tag"]).select("doc", "tag", "n", "_row")
+    once = chosen.where("n = 1").select("_row.*")
+    if winners.where("n > 1").isEmpty():
+        return once
+    return once.unionByName(chosen.where("n > 1").dropDuplicates(["doc", "tag"]).select("_row.*"))
