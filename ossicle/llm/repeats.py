@@ -166,9 +166,19 @@ def merged(s: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     return {"doc": doc[at], "tag": tag[at], "start": start[at], "count": (reach[last] - start[at]).astype("<u4")}
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones and so on: high bytes compress well then."""
+    return x.view(np.uint8).reshape(len(x), -1).T.tobytes() if len(x) else b""
+
+
+def _numbers(data: bytes, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(width, -1).T).view(kind).ravel()
+
+
 def _dealt(e: dict[str, np.ndarray], keys: np.ndarray, kind: int) -> pa.RecordBatch:
-    """A row of packed arrays for each key."""
-    order = np.argsort(keys, kind="stable")
+    """A row of packed arrays for each key, by document and place."""
+    order = np.lexsort((e["start"], e["tag"], e["doc"], keys))
     keys = keys[order]
     at = _firsts(keys)
     stops = np.append(at[1:], len(keys))
@@ -176,7 +186,7 @@ def _dealt(e: dict[str, np.ndarray], keys: np.ndarray, kind: int) -> pa.RecordBa
     for f in _FIELDS:
         if f in e:
             x = np.ascontiguousarray(e[f][order])
-            columns.append(pa.array([x[a:b].tobytes() for a, b in zip(at, stops)], pa.binary()))
+            columns.append(pa.array([_planes(x[a:b]) for a, b in zip(at, stops)], pa.binary()))
         else:
             columns.append(pa.nulls(len(at), pa.binary()))
     return pa.RecordBatch.from_arrays([pa.array(keys[at], pa.int32()), pa.array(np.full(len(at), kind), pa.int32()), *columns], ["key", "kind", *_FIELDS])
@@ -184,7 +194,7 @@ def _dealt(e: dict[str, np.ndarray], keys: np.ndarray, kind: int) -> pa.RecordBa
 
 def _unpacked(table: pa.Table, fields: list[str], count: str = "<u2") -> dict[str, np.ndarray]:
     kinds = _TYPES | {"count": count}
-    return {f: np.frombuffer(b"".join(table.column(f).to_pylist()), kinds[f]) for f in fields}
+    return {f: np.concatenate([np.empty(0, kinds[f]), *(_numbers(x, kinds[f]) for x in table.column(f).to_pylist())]) for f in fields}
 
 
 def _document_key(e: dict[str, np.ndarray], n: int) -> np.ndarray:
@@ -334,29 +344,43 @@ def _shard(search: Search, buckets: int, resolve: Callable):
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str, more: list[str] = []) -> DataFrame:  # noqa: B006
-    """(doc_id, doc, tag, data): doc and tag tell rows apart, but for rows with equal id and text."""
+    """(doc_id, doc, tag, data): doc and tag tell rows apart, but for rows with equal id and text.
+
+    The tag is a hash of the text, or zero if no id comes twice, as is usual: it costs much room.
+    """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"), *more)
-    tag = F.xxhash64(F.col("doc_id").isNull(), "data")
+    none = F.col("doc_id").isNull()
+    twice = docs.groupBy(F.col(id_col).cast("long")).count().where("count > 1").limit(1).count()
+    tag = F.xxhash64(none, "data") if twice else none.cast("long")
     return rows.select("doc_id", F.coalesce("doc_id", F.lit(0)).alias("doc"), tag.alias("tag"), "data", *more)
 
 
-def spans(rows: DataFrame, search: Search, resolve: Callable, work: Workspace, part_bytes: int = 1 << 24) -> DataFrame:
-    """(doc, tag, start, count): packed arrays of the windows of each text of rows that count."""
-    spark = rows.sparkSession
-    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
-    buckets = max(2 * shuffle_partitions(spark), -(-size // part_bytes))
+def _settled(rows: DataFrame, search: Search, buckets: int, work: Workspace) -> DataFrame:
     usable = rows.where("doc_id is not null") if search.earlier else rows
     usable = usable.where(F.octet_length("data") >= (2 * search.length - 1 if search.words else search.length))
     first = usable.select("doc", "tag", "data").mapInArrow(_first_pass(search, buckets), _ENTRIES)
-    settled = work.write(first.groupBy("kind", "key").applyInArrow(_bucket(search, buckets), _ENTRIES), "settled")
-    sweep(spark)
+    return work.write(first.groupBy("kind", "key").applyInArrow(_bucket(search, buckets), _ENTRIES), "settled")
+
+
+def _shards(rows: DataFrame, settled: DataFrame, search: Search, buckets: int, resolve: Callable, work: Workspace) -> DataFrame:
     asked = settled.where("kind = 2").groupBy("key").applyInArrow(_by_document(_ASKED), "doc long, tag long, start binary, count binary, lead binary, many binary")
     fetched = rows.select("doc", "tag", "data").join(asked, ["doc", "tag"]).select("doc", "tag", "data", "start", "count", "lead", "many")
     runs = fetched.mapInArrow(_fetch(search, buckets), _RUNS)
-    shards = work.write(runs.groupBy("shard").applyInArrow(_shard(search, buckets, resolve), _ENTRIES), "shards")
+    return work.write(runs.groupBy("shard").applyInArrow(_shard(search, buckets, resolve), _ENTRIES), "shards")
+
+
+def spans(rows: DataFrame, search: Search, resolve: Callable, work: Workspace, part_bytes: int = 1 << 24) -> DataFrame:
+    """(doc, tag, start, count): packed arrays of the windows of each text of rows that count."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length("data"))).first()[0] or 0
+    buckets = max(2 * shuffle_partitions(spark), -(-size // part_bytes))
+    settled = _settled(rows, search, buckets, work)
+    sweep(spark)  # the plans that made a table are gone by now, so their shuffle files can go
+    shards = _shards(rows, settled, search, buckets, resolve, work)
     sweep(spark)
     both = settled.where("kind = 1").unionByName(shards).select("key", *_SPANS)
-    return both.groupBy("key").applyInArrow(_by_document(_SPANS), "doc long, tag long, start binary, count binary")
+    found = both.groupBy("key").applyInArrow(_by_document(_SPANS), "doc long, tag long, start binary, count binary")
+    return work.write(found, "spans")
 
 
 def mask(start: bytes | None, count: bytes | None, n: int, length: int) -> np.ndarray:
