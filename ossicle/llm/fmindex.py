@@ -149,5 +149,5 @@ def removed_digests(docs: DataFrame, length: int = 35, k: int = 12, id_col: str
     rows = repeats.keyed(docs, id_col, text_col)
     search = repeats.Search(length, k, words=True, earlier=False)
     found = repeats.spans(rows, search, groups, Workspace(docs.sparkSession, "fmindex"))
-    joined = rows.join(found, ["doc", "tag"], "left").select("doc_id", "data", "start", "count")
+    joined = rows.join(found.hint("merge"), ["doc", "tag"], "left").select("doc_id", "data", "start", "count")
     return joined.mapInArrow(_digest(length), "doc_id long, n_words long, n_removed long, kept_sha256 string")

@@ -364,7 +364,8 @@ def _settled(rows: DataFrame, search: Search, buckets: int, work: Workspace) ->
 
 def _shards(rows: DataFrame, settled: DataFrame, search: Search, buckets: int, resolve: Callable, work: Workspace) -> DataFrame:
     asked = settled.where("kind = 2").groupBy("key").applyInArrow(_by_document(_ASKED), "doc long, tag long, start binary, count binary, lead binary, many binary")
-    fetched = rows.select("doc", "tag", "data").join(asked, ["doc", "tag"]).select("doc", "tag", "data", "start", "count", "lead", "many")
+    # a merge join at any size, in whose partitions nothing grows with the input
+    fetched = rows.select("doc", "tag", "data").join(asked.hint("merge"), ["doc", "tag"]).select("doc", "tag", "data", "start", "count", "lead", "many")
     runs = fetched.mapInArrow(_fetch(search, buckets), _RUNS)
     return work.write(runs.groupBy("shard").applyInArrow(_shard(search, buckets, resolve), _ENTRIES), "shards")
 

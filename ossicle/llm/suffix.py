@@ -189,7 +189,7 @@ def _with_spans(docs: DataFrame, length: int, k: int, id_col: str, text_col: str
     rows = repeats.keyed(docs, id_col, text_col)
     search = repeats.Search(length, k, words=False, earlier=True)
     found = repeats.spans(rows, search, groups, Workspace(docs.sparkSession, "suffix"))
-    return rows.join(found, ["doc", "tag"], "left")
+    return rows.join(found.hint("merge"), ["doc", "tag"], "left")
 
 
 def removed_digests(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -224,7 +224,7 @@ def deduplicated(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "
     search = repeats.Search(length, k, words=False, earlier=True)
     found = repeats.spans(repeats.keyed(docs, id_col, text_col), search, groups, Workspace(docs.sparkSession, "suffix"))
     carried = repeats.keyed(rows.select(F.col(id_col), F.col(text_col), "_row", "_none"), id_col, text_col, ["_row", "_none"])
-    joined = carried.join(found, ["doc", "tag"], "left").select("data", "start", "count", "_row", "_none")
+    joined = carried.join(found.hint("merge"), ["doc", "tag"], "left").select("data", "start", "count", "_row", "_none")
     kinds = f"_cut string, _row {dict(joined.dtypes)['_row']}, _none boolean"
     cut = joined.mapInArrow(run, kinds)
     text = F.when(F.col("_none"), F.lit(None)).otherwise(F.col("_cut"))
