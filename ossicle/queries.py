@@ -541,3 +541,121 @@ def rate_limit(spark, sf_dir):
     """Requests accepted within a limit a client and week; accepted ones only count, so SQL windows can't say it."""
     e = T.table(spark, sf_dir, "events").select("user_id", "ts", "event_id")
     return select.rate_limited(e, "user_id", "ts", 3, 7 * 24 * 3600)
+
+
+@query(f"with {FACTS}, u as (select condition_id, utt_id, avg(m) as w from (select condition_id, utt_id, lineage, avg(wer) as m from lf where status = 'ok' group by all) group by all), d as (select a.condition_id, a.w - b.w as d from u a join u b using (utt_id) where a.condition_id <> 'c1' and b.condition_id = 'c1') select condition_id, count(*) as n, round(avg(d), 6) as effect, round(1.96 * stddev_samp(d) / sqrt(count(*)), 6) as half from d group by 1 having count(*) >= 5 order by effect desc, condition_id limit 20")
+def forest_effects(spark, sf_dir):
+    """The largest paired effects with their intervals."""
+    f = T.long_facts(T.facts(spark, sf_dir).where("status = 'ok'"))
+    u = f.groupBy("condition_id", "utt_id", "lineage").agg(F.avg("wer").alias("m")).groupBy("condition_id", "utt_id").agg(F.avg("m").alias("w"))
+    base = u.where(F.col("condition_id") == T.ORIGINAL).select("utt_id", F.col("w").alias("w0"))
+    d = u.where(F.col("condition_id") != T.ORIGINAL).join(base, "utt_id").withColumn("d", F.col("w") - F.col("w0"))
+    e = d.groupBy("condition_id").agg(F.count("*").alias("n"), F.round(F.avg("d"), 6).alias("effect"), F.round(1.96 * F.stddev_samp("d") / F.sqrt(F.count("*")), 6).alias("half"))
+    return e.where("n >= 5").orderBy(F.desc("effect"), "condition_id").limit(20)
+
+
+@query(f"with {FACTS} select transform_key, margin_db, round(avg(w), 6) as wer, round(avg((w <= 0.3)::int), 6) as asr_sr, round(0.6 + 0.4 * avg(stoi_proxy), 6) as hsr from (select transform_key, margin_db, stoi_proxy, unnest([wer_whisper_tiny, wer_whisper_small, wer_vosk_small_en, wer_wav2vec2_base]) as w from facts where kind = 'sweep' and status = 'ok') group by 1, 2")
+def sweep_pooled(spark, sf_dir):
+    """Error and success of all engines together, by key and margin."""
+    f = T.facts(spark, sf_dir).where("kind = 'sweep' and status = 'ok'")
+    w = f.select("transform_key", "margin_db", "stoi_proxy", F.explode(F.array(*(f"wer_{e}" for e in T.ENGINES))).alias("w"))
+    return w.groupBy("transform_key", "margin_db").agg(F.round(F.avg("w"), 6).alias("wer"), F.round(gap.success(F.col("w"), strict=False), 6).alias("asr_sr"), F.round(gap.hsr_proxy(F.avg("stoi_proxy")), 6).alias("hsr"))
+
+
+@query(f"with {FACTS}, a as (select family, count(distinct condition_id) as run from facts group by 1), r as (select unnest(['A', 'B', 'C', 'D', 'E', 'F', 'G', 'H']) as family, unnest([11, 16, 11, 24, 20, 9, 10, 18])::bigint as registered) select coalesce(a.family, r.family) as family, coalesce(registered, 0) as registered, coalesce(run, 0) as run from a full join r on a.family = r.family")
+def registry_against_runs(spark, sf_dir):
+    """Registered transforms and conditions run, by family."""
+    runs = T.facts(spark, sf_dir).groupBy("family").agg(F.countDistinct("condition_id").alias("run"))
+    counts = grid.family_counts(spark).select("family", F.col("n").alias("registered"))
+    return counts.join(runs, "family", "full").select("family", F.coalesce("registered", F.lit(0)).cast("long").alias("registered"), F.coalesce("run", F.lit(0)).cast("long").alias("run"))
+
+
+@query("select user_id, strftime(ts, '%Y-%m-%d %H') as hour, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
+def events_hourly(spark, sf_dir):
+    """Tumbling windows of an hour."""
+    e = T.table(spark, sf_dir, "events")
+    return e.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd HH").alias("hour")).agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+
+
+@query("with l as (select doc_id, quality, n_chars, rank() over (order by n_chars) + (count(*) over (partition by n_chars) - 1) / 2.0 as rn, rank() over (order by quality) + (count(*) over (partition by quality) - 1) / 2.0 as rq from labels join documents using (doc_id)) select count(*) as n, round(corr(quality, n_chars), 6) as pearson, round(corr(rq, rn), 6) as spearman from l")
+def rating_correlation(spark, sf_dir):
+    """Ratings against a proxy: Pearson and Spearman."""
+    j = T.table(spark, sf_dir, "labels").join(T.table(spark, sf_dir, "documents"), "doc_id").select("quality", "n_chars")
+    ranked = j.select("quality", "n_chars", summary.average_rank("n_chars").alias("rn"), summary.average_rank("quality").alias("rq"))
+    return ranked.agg(F.count("*").alias("n"), F.round(F.corr("quality", "n_chars"), 6).alias("pearson"), F.round(F.corr("rq", "rn"), 6).alias("spearman"))
+
+
+@query("select source, count(*) as n, count(distinct lang) as languages, round(avg((quality = 1)::int), 6) as good from documents left join labels using (doc_id) group by 1")
+def ratings_by_source(spark, sf_dir):
+    j = T.table(spark, sf_dir, "documents").join(T.table(spark, sf_dir, "labels"), "doc_id", "left")
+    return j.groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("lang").alias("languages"), F.round(F.avg((F.col("quality") == 1).cast("int")), 6).alias("good"))
+
+
+@query("with r as (select event_type, user_id, value, row_number() over (partition by user_id order by ts, event_id) as k, lag(value) over (partition by user_id order by ts, event_id) as before, avg(value) over (partition by user_id order by ts, event_id rows between 4 preceding and current row) as recent, sum(value) over (partition by user_id order by ts, event_id rows unbounded preceding) as running, event_id from events) select event_id, k, round(value - before, 6) as step, round(recent, 6) as recent, round(running, 4) as running from r")
+def running_windows(spark, sf_dir):
+    """Onset differences, trailing means and running sums of each user's series."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    return T.table(spark, sf_dir, "events").select(
+        "event_id", F.row_number().over(w).cast("long").alias("k"), F.round(F.col("value") - F.lag("value").over(w), 6).alias("step"),
+        F.round(F.avg("value").over(w.rowsBetween(-4, 0)), 6).alias("recent"), F.round(F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)), 4).alias("running"),
+    )
+
+
+# -- what SQL can't express: rows are checked by unit tests ------------------------------------------------
+
+
+def _family(letter: str) -> Query:
+    def run(spark, sf_dir):
+        from .functions import registry
+        from .plans import benchmark
+
+        rows = benchmark.benchmark(spark, T.long_signals(spark, sf_dir), registry.keys(letter), sweep=False)
+        return rows.groupBy("transform_key").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "ok").alias("n_ok"), F.round(F.avg("stoi_proxy"), 4).alias("stoi"), F.round(F.avg("snr_db"), 3).alias("snr"), F.round(F.avg("mbsd"), 4).alias("mbsd"))
+
+    run.__doc__ = f"All transforms of family {letter} over the long signals: metric means."
+    return run
+
+
+for _letter in "ABCDEFGH":
+    QUERIES[f"family_{_letter.lower()}_smoke"] = _family(_letter)
+
+
+@query()
+def defense_matrix(spark, sf_dir):
+    """Each defence against a strong transform: likeness before and after."""
+    from .plans import benchmark
+
+    rows = benchmark.defended(T.long_signals(spark, sf_dir), "novel.captcha_optimal")
+    return rows.groupBy("defense").agg(F.count("*").alias("n"), F.round(F.avg("before"), 4).alias("before"), F.round(F.avg("after"), 4).alias("after"))
+
+
+@query()
+def spectral_metrics(spark, sf_dir):
+    """All 13 metrics of the long signals against a masked-noise copy."""
+    from .plans import benchmark
+
+    return benchmark.benchmark(spark, T.long_signals(spark, sf_dir), ["psychoacoustic.masked_noise"], sweep=False)
+
+
+@query()
+def word_confusion(spark, sf_dir):
+    """Aligned words of neighbouring turns that differ."""
+    from pyspark.sql import Window
+
+    c = T.table(spark, sf_dir, "conversations").withColumn("t2", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("t2 is not null")
+    return text.confusions(c, "text", "t2")
+
+
+@query()
+def detailed_wer(spark, sf_dir):
+    """Hits, substitutions, deletions and insertions of the mock recogniser."""
+    r = T.table(spark, sf_dir, "benchmark").select("item_id", text.normalize(F.col("text")).alias("r"))
+    r = r.withColumn("h", text.mock_transcript(F.col("r"), F.lit(20.0), F.lit(0.0)))
+    return text.detailed(r, "r", "h").select("item_id", "wer", "hit_rate", "sub_rate", "del_rate", "ins_rate")
+
+
+@query()
+def transform_catalog(spark, sf_dir):
+    return grid.catalog(spark)
