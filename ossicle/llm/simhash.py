@@ -159,9 +159,10 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
             packed = [shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
 
-    texts_of = keyed.join(wanted, ["doc", "tag"]).select("node", "data")
+    # merge joins at any size, in whose partitions nothing grows with the input
+    texts_of = keyed.join(wanted.hint("merge"), ["doc", "tag"]).select("node", "data")
     shingles = work.write(texts_of.mapInArrow(sets, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
-    both = pairs.join(shingles.withColumnsRenamed({"node": "u", "shingles": "a"}), "u").join(shingles.withColumnsRenamed({"node": "v", "shingles": "b"}), "v")
+    both = pairs.join(shingles.withColumnsRenamed({"node": "u", "shingles": "a"}).hint("merge"), "u").join(shingles.withColumnsRenamed({"node": "v", "shingles": "b"}).hint("merge"), "v")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,7 +191,7 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     counted = groups.groupBy("doc", "tag", F.col("doc_id").isNull().alias("none")).agg(F.count("*").alias("n"))
     winners = work.write(winners.join(counted, ["doc", "tag", "none"]), "winners")
     key = repeats.keyed(docs.select(F.col(id_col), F.col(text_col), F.struct(*docs.columns).alias("_row")), id_col, text_col, ["_row"])
-    chosen = key.join(winners, ["doc", "tag"]).select("doc", "tag", "n", "_row")
+    chosen = key.join(winners.hint("merge"), ["doc", "tag"]).select("doc", "tag", "n", "_row")
     once = chosen.where("n = 1").select("_row.*")
     if winners.where("n > 1").isEmpty():
         return once
