@@ -7,7 +7,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ZERO = F.lit(0.0)
+def zero() -> Column:
+    return F.lit(0.0)
 
 
 def let(value: Column, f) -> Column:
@@ -20,7 +21,7 @@ def total(w: Column, f=lambda x: x) -> Column:
 
 
 def mean(w: Column, f=lambda x: x) -> Column:
-    return F.when(F.size(w) > 0, total(w, f) / F.greatest(F.size(w), F.lit(1))).otherwise(ZERO)
+    return F.when(F.size(w) > 0, total(w, f) / F.greatest(F.size(w), F.lit(1))).otherwise(zero())
 
 
 def rms(w: Column) -> Column:
@@ -28,7 +29,7 @@ def rms(w: Column) -> Column:
 
 
 def peak(w: Column) -> Column:
-    return F.coalesce(F.array_max(F.transform(w, F.abs)), ZERO)
+    return F.coalesce(F.array_max(F.transform(w, F.abs)), zero())
 
 
 def scaled(w: Column, by: Column) -> Column:
@@ -58,7 +59,7 @@ def limiter(w: Column, threshold_db: float = -1.0) -> Column:
 
 
 def silence_padding(w: Column, samples: int) -> Column:
-    return F.concat(F.array_repeat(ZERO, samples), w, F.array_repeat(ZERO, samples))
+    return F.concat(F.array_repeat(zero(), samples), w, F.array_repeat(zero(), samples))
 
 
 def bit_depth(w: Column, bits: int = 8) -> Column:
@@ -78,7 +79,7 @@ def mu_law(w: Column, mu: float = 255.0, levels: int = 127) -> Column:
 
 def delayed(w: Column, samples: int) -> Column:
     """w later by so many samples, its length kept."""
-    return F.slice(F.concat(F.array_repeat(ZERO, samples), w), F.lit(1), F.greatest(F.size(w), F.lit(0)))
+    return F.slice(F.concat(F.array_repeat(zero(), samples), w), F.lit(1), F.greatest(F.size(w), F.lit(0)))
 
 
 def add_delayed(w: Column, samples: int, by: float) -> Column:
@@ -102,8 +103,8 @@ def comb(w: Column, samples: int, by: float) -> Column:
     seed = F.array().cast("array<double>")
 
     def step(y: Column, x: Column) -> Column:
-        before = F.when(F.size(y) >= samples, F.element_at(y, F.greatest(F.size(y) - samples + 1, F.lit(1)))).otherwise(ZERO)
-        return F.concat(y, F.array(x + by * F.coalesce(before, ZERO)))
+        before = F.when(F.size(y) >= samples, F.element_at(y, F.greatest(F.size(y) - samples + 1, F.lit(1)))).otherwise(zero())
+        return F.concat(y, F.array(x + by * F.coalesce(before, zero())))
 
     return F.aggregate(w, seed, step)
 
@@ -134,7 +135,7 @@ def mse(a: Column, b: Column) -> Column:
 def snr_db(a: Column, b: Column) -> Column:
     """In dB; null where the reference has infinity: no noise."""
     noise, own = mse(a, b), mean(common(a, b)[0], lambda x: x * x)
-    return F.when(noise < 1e-15, F.lit(None)).when(own < 1e-15, ZERO).otherwise(10 * F.log10(own / F.greatest(noise, F.lit(1e-300))))
+    return F.when(noise < 1e-15, F.lit(None)).when(own < 1e-15, zero()).otherwise(10 * F.log10(own / F.greatest(noise, F.lit(1e-300))))
 
 
 def _centred(a: Column) -> Column:
@@ -155,7 +156,7 @@ def _moments(a: Column, b: Column) -> Column:
 def _si_sdr(own: Column, cross: Column, other: Column) -> Column:
     target = cross * cross / F.greatest(own, F.lit(1e-300))
     rest = other - target
-    return F.when(own < 1e-15, ZERO).when(rest < 1e-15, F.lit(None)).when(target < 1e-15, F.lit(-100.0)).otherwise(10 * F.log10(F.greatest(target, F.lit(1e-300)) / F.greatest(rest, F.lit(1e-300))))
+    return F.when(own < 1e-15, zero()).when(rest < 1e-15, F.lit(None)).when(target < 1e-15, F.lit(-100.0)).otherwise(10 * F.log10(F.greatest(target, F.lit(1e-300)) / F.greatest(rest, F.lit(1e-300))))
 
 
 def correlation(a: Column, b: Column) -> Column:
@@ -171,7 +172,7 @@ def correlation(a: Column, b: Column) -> Column:
 
 def psnr_db(a: Column, b: Column) -> Column:
     r = F.sqrt(mse(a, b))
-    return F.when(r < 1e-15, F.lit(None)).when(peak(a) < 1e-15, ZERO).otherwise(20 * F.log10(F.greatest(peak(a), F.lit(1e-300)) / F.greatest(r, F.lit(1e-300))))
+    return F.when(r < 1e-15, F.lit(None)).when(peak(a) < 1e-15, zero()).otherwise(20 * F.log10(F.greatest(peak(a), F.lit(1e-300)) / F.greatest(r, F.lit(1e-300))))
 
 
 def rms_ratio(a: Column, b: Column) -> Column:

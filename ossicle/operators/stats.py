@@ -12,16 +12,12 @@ from ..functions.kernels import normal_cdf, normal_ppf, t_two_sided
 from ..sources.tables import uniform
 from .summary import average_rank
 
-_p_t = F.pandas_udf(lambda t, df: pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)]), "double")
-_p_z = F.pandas_udf(lambda z: pd.Series([2 * normal_cdf(-abs(v)) if pd.notna(v) else None for v in z]), "double")
-
-
 def t_p_value(t: Column, df: Column) -> Column:
-    return _p_t(t, df)
+    return F.pandas_udf(lambda t, df: pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)]), "double")(t, df)
 
 
 def z_p_value(z: Column) -> Column:
-    return _p_z(z)
+    return F.pandas_udf(lambda z: pd.Series([2 * normal_cdf(-abs(v)) if pd.notna(v) else None for v in z]), "double")(z)
 
 
 def two_samples(frame: DataFrame, by: list[str], group: str, a: str, b: str, value: str) -> DataFrame:
