@@ -80,13 +80,15 @@ def chained(signals: DataFrame, steps: list[tuple[str, dict]]) -> DataFrame:
 
 def register_sql(spark: SparkSession, keys: list[str] | None = None) -> None:
     """Each transform as a SQL function of a waveform and a rate, dots as underscores."""
-    for key in keys or registry.keys():
 
-        def change(w: pd.Series, sr: pd.Series, key=key) -> pd.Series:
+    def of(key: str):
+        def change(w: pd.Series, sr: pd.Series) -> pd.Series:
             return pd.Series([registry.apply(key, np.asarray(x, float), r) for x, r in zip(w, sr)])
 
-        change.__annotations__ = {"w": pd.Series, "sr": pd.Series, "return": pd.Series}
-        spark.udf.register(key.replace(".", "_"), F.pandas_udf(change, "array<double>"))
+        return F.pandas_udf(change, "array<double>")
+
+    for key in keys or registry.keys():
+        spark.udf.register(key.replace(".", "_"), of(key))
 
 
 def defended(signals: DataFrame, key: str) -> DataFrame:

@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def rate_limited(requests: DataFrame, client: str, ts: str, limit: int, seconds: int = 60) -> DataFrame:
+def rate_limited(requests: DataFrame, client: str, ts: str, limit: int, seconds: int = 60, late: str = "10 minutes") -> DataFrame:
     """A stream of (client, ts, accepted): at most ``limit`` accepted requests in any such span.
 
-    A client's state is its accepted times of the last span, ``limit`` at most; it goes when the span is over.
+    A client's state is its accepted times of the last span, ``limit`` at most; it goes when the watermark has
+    passed the span.  Requests later than ``late`` behind the newest are not answered.
     """
     if limit <= 0:
         return requests.select(F.col(client).cast("string").alias("client"), F.col(ts).alias("ts"), F.lit(True).alias("accepted"))
@@ -32,10 +33,10 @@ def rate_limited(requests: DataFrame, client: str, ts: str, limit: int, seconds:
                     kept.append(now)
             yield pd.DataFrame({"client": key[0], "ts": sorted(part["ts"]), "accepted": out})
         state.update((kept,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max([k // 1000 for k in kept] + [state.getCurrentWatermarkMs()]) + seconds * 1000)
 
-    rows = requests.select(F.col(client).cast("string").alias("client"), F.col(ts).cast("timestamp").alias("ts"))
-    return rows.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, accepted boolean", "kept array<long>", "append", "ProcessingTimeTimeout")
+    rows = requests.select(F.col(client).cast("string").alias("client"), F.col(ts).cast("timestamp").alias("ts")).withWatermark("ts", late)
+    return rows.groupBy("client").applyInPandasWithState(run, "client string, ts timestamp, accepted boolean", "kept array<long>", "append", "EventTimeTimeout")
 
 
 def append_facts(rows: DataFrame, path: str, checkpoint: str, keys: list[str]):

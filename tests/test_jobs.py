@@ -106,14 +106,12 @@ def test_streams(spark, tmp_path):
     req = spark.createDataFrame([("c", t0 + dt.timedelta(seconds=s)) for s in (0, 1, 2, 61)], "client string, ts timestamp")
     req.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(req.schema).parquet(str(tmp_path / "in"))
-    q = limits.rate_limited(stream, "client", "ts", 2).writeStream.format("memory").queryName("limited").outputMode("append").start()
-    q.processAllAvailable()
-    q.stop()
+    q = limits.rate_limited(stream, "client", "ts", 2).writeStream.format("memory").queryName("limited").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(60)
     assert [r.accepted for r in spark.table("limited").orderBy("ts").collect()] == [True, True, False, True]
     for _ in range(2):
-        a = limits.append_facts(stream, str(tmp_path / "facts"), str(tmp_path / f"check{_}"), ["client", "ts"]).start()
-        a.processAllAvailable()
-        a.stop()
+        a = limits.append_facts(stream, str(tmp_path / "facts"), str(tmp_path / f"check{_}"), ["client", "ts"]).trigger(availableNow=True).start()
+        assert a.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "facts")).count() == 4
     h = limits.hourly(spark.readStream.schema("ts timestamp, event_type string, value double").parquet(str(tmp_path / "in")))
     assert h.isStreaming and h.columns == ["window", "event_type", "n", "total"]

@@ -89,7 +89,7 @@ def test_scaling_fit(spark):
 
 
 def test_effects_and_tests(spark):
-    a, b = [1.0, 2, 3, 4, 5], [2.0, 4, 6, 8, 10]
+    a, b = [1.0, 2.0, 3.0, 4.0, 5.0], [2.0, 4.0, 6.0, 8.0, 10.0]
     df = spark.createDataFrame([("k", "a", v) for v in a] + [("k", "b", v) for v in b], "k string, g string, v double")
     two = stats.two_samples(df, ["k"], "g", "a", "b", "v")
     t, dof = stats.welch()
