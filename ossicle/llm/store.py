@@ -144,7 +144,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str =
     """
     work = Workspace(docs.sparkSession, "store")
     encoded_docs = texts(docs, id_col, text_col).mapInArrow(_staged(tokenizer, end_id), _STAGED)
-    encoded_docs.write.partitionBy("kind").parquet(work.path("staged"))
+    encoded_docs.write.option("compression", "zstd").partitionBy("kind").parquet(work.path("staged"))
     staged = docs.sparkSession.read.schema(_STAGED).parquet(work.path("staged"))
     once = staged.where("kind = 1").groupBy("digest").agg(F.first("payload").alias("payload"))
     once.write.option("compression", "zstd").parquet(f"{path}/chunks")
