@@ -23,6 +23,7 @@ class Transform:
     description: str
 
 
+_NOT_PARAMETERS = set("condition_index sample_index type name".split())
 _known: dict[str, Transform] = {}
 
 
@@ -68,7 +69,7 @@ def get(key: str) -> Transform:
 def apply(key: str, x: np.ndarray, sr: int, params: dict[str, Any] | None = None, seed: int = 42) -> np.ndarray:
     """One transform; explicit parameters go before the registered ones.  The result has no NaN or infinity."""
     t = get(key)
-    p = t.defaults | {k: v for k, v in (params or {}).items() if k not in ("condition_index", "sample_index", "type", "name")}
+    p = t.defaults | {k: v for k, v in (params or {}).items() if k not in _NOT_PARAMETERS}
     if unknown := set(p) - set(t.defaults):
         raise ValueError(f"{key} has no parameter {', '.join(sorted(unknown))}")
     x = np.asarray(x, float)

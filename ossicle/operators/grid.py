@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import registry
 from ..functions.psychoacoustic import variants
 
-SWEEP_KEYS = ["psychoacoustic.masked_noise", "psychoacoustic.bark_perturbation", "psychoacoustic.erb_perturbation", "psychoacoustic.frame_budget"]
-MARGINS = [0.0, 5.0, 10.0, 20.0, 30.0, 40.0, 50.0]
+SWEEP_KEYS = [f"psychoacoustic.{k}" for k in "masked_noise bark_perturbation erb_perturbation frame_budget".split()]
+MARGINS = [0.0, 5.0, *(10.0 * i for i in range(1, 6))]
 _CONDITION = "condition_id string, kind string, transform_key string, family string, params_json string, margin_db double"
 
 

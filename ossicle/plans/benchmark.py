@@ -16,7 +16,7 @@ from ..functions.metrics import NAMES, all_metrics, stoi_proxy
 from ..functions.psychoacoustic import budget_noise
 from ..operators import grid, text
 
-_KEYS = ["condition_id", "kind", "transform_key", "family", "params_json", "margin_db", "utt_id", "spk"]
+_KEYS = "condition_id kind transform_key family params_json margin_db utt_id spk".split()
 _ROWS = "condition_id string, kind string, transform_key string, family string, params_json string, margin_db double, utt_id string, spk string, dur_s double, status string, error string, " + ", ".join(f"{n} double" for n in NAMES)
 
 

@@ -13,6 +13,7 @@ from .operators import gap, grid, select, stats, summary, text
 from .sources import tables as T
 
 Query = Callable[[SparkSession, str], DataFrame]
+RANKS = [f"{r}_rank" for r in "human attack gap quality".split()]
 QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
 
@@ -27,7 +28,7 @@ def query(sql: str | None = None):
     return add
 
 
-# -- signals: short ones, 64 samples each ------------------------------------------------------------
+# signals: short ones, 64 samples each.
 
 SHORT = "short as (select vec_id as utt_id, list_transform(embedding, lambda x: x::double) as w from embeddings where embedding is not null)"
 
@@ -149,7 +150,7 @@ def frame_features(spark, sf_dir):
     return f.select("utt_id", "frame", F.round(A.total(F.col("v"), lambda x: x * x), 6).alias("energy"), F.round(A.crossings(F.col("v")), 8).alias("crossings"))
 
 
-# -- fact rows -------------------------------------------------------------------------------------
+# fact rows.
 
 FACTS = (
     "facts as (select 'c' || l_suppkey as condition_id, case when l_suppkey = 1 then 'original' when l_suppkey % 10 = 3 then 'sweep' when l_suppkey % 10 = 7 then 'control' else 'transform' end as kind, 't' || (l_suppkey % 7) as transform_key,"
@@ -193,14 +194,14 @@ _ROUNDED = ", rs as (select condition_id, kind, family, round(stoi_mean, 6) as s
 
 
 def _rounded(spark, sf_dir):
-    s = _summary(spark, sf_dir).drop("human_rank", "attack_rank", "gap_rank", "quality_rank")
+    s = _summary(spark, sf_dir).drop(*RANKS)
     return s.select("condition_id", "kind", "family", *(F.round(c, 6).alias(c) for c in ("stoi_mean", "cross_delta_wer", "hag", "mbsd_mean", "hsr")))
 
 
 @query(f"with {SUMMARY}{_ROUNDED} select condition_id, rank() over (order by stoi_mean desc) as human_rank, rank() over (order by cross_delta_wer desc) as attack_rank, rank() over (order by hag desc) as gap_rank, rank() over (order by mbsd_mean) as quality_rank from rs where kind <> 'original' union all select condition_id, null, null, null, null from rs where kind = 'original'")
 def four_ranks(spark, sf_dir):
     """The headline query: conditions ranked in four ways."""
-    return summary.four_ranks(_rounded(spark, sf_dir)).select("condition_id", "human_rank", "attack_rank", "gap_rank", "quality_rank")
+    return summary.four_ranks(_rounded(spark, sf_dir)).select("condition_id", *RANKS)
 
 
 _FRONT = "select condition_id, not exists (select 1 from rs b where b.condition_id <> a.condition_id and b.stoi_mean >= a.stoi_mean and b.cross_delta_wer >= a.cross_delta_wer{strict}) as pareto from rs a"
@@ -286,7 +287,7 @@ def top_attacks(spark, sf_dir):
     return _rounded(spark, sf_dir).where("kind <> 'original'").orderBy(F.desc("cross_delta_wer"), "condition_id").limit(10).select("condition_id", "stoi_mean", "cross_delta_wer")
 
 
-# -- the gap stack ------------------------------------------------------------------------------------
+# the gap stack.
 
 _STACK = (
     FACTS + ", q as (select condition_id, avg(stoi_proxy) as stoi, avg((stoi_proxy >= 0.7 and mbsd <= 5 and (snr_db is null or snr_db >= 15))::int) as par from facts where status = 'ok' group by 1), sr as (select condition_id, avg((wer < 0.3)::int) as asr_sr from lf where status = 'ok' group by 1),"
@@ -313,7 +314,7 @@ def dsr_prr(spark, sf_dir):
     return e.where("sur is not null").select("event_type", "g", F.round(d, 6).alias("dsr"), F.round(gap.recovery(d), 6).alias("prr"))
 
 
-# -- text ---------------------------------------------------------------------------------------------
+# text.
 
 _NORM = "trim(regexp_replace(regexp_replace(lower(coalesce(text, '')), '[^\\p{L}\\p{N}_\\s]', '', 'g'), '\\s+', ' ', 'g'))"
 
@@ -356,7 +357,7 @@ def corpus_hash(spark, sf_dir):
     return d.groupBy("source").agg(F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("digest"))
 
 
-# -- selection and joins --------------------------------------------------------------------------------
+# selection and joins.
 
 
 @query("with s as (select source from (select distinct source from documents) order by source limit 7), r as (select doc_id, source, row_number() over (partition by source order by doc_id) as turn from documents where source in (select source from s)) select doc_id, source, turn from r order by turn, source limit 70")
@@ -433,7 +434,7 @@ def paired_join(spark, sf_dir):
     return e.join(m, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("v0")).alias("above"))
 
 
-# -- statistics -----------------------------------------------------------------------------------------
+# statistics.
 
 _TWO = FACTS + ", t as (select transform_key, count(*) filter (family = 'B' and stoi_proxy is not null) as n_a, count(*) filter (family = 'C') as n_b, avg(stoi_proxy) filter (family = 'B') as ma, avg(stoi_proxy) filter (family = 'C') as mb, var_samp(stoi_proxy) filter (family = 'B') as va, var_samp(stoi_proxy) filter (family = 'C') as vb from facts group by 1 having count(*) filter (family = 'B') > 1 and count(*) filter (family = 'C') > 1)"
 
@@ -603,7 +604,7 @@ def running_windows(spark, sf_dir):
     )
 
 
-# -- what SQL can't express: rows are checked by unit tests ------------------------------------------------
+# what SQL can't express: rows are checked by unit tests.
 
 
 def _family(letter: str) -> Query:

@@ -116,7 +116,7 @@ def loose(spark: SparkSession, folder: str) -> DataFrame:
 
 def synthetic(spark: SparkSession, n: int = 20, seconds: float = 2.0, seed: int = 42) -> DataFrame:
     """Formant-like tones of three speakers with transcripts of ten words' vocabulary."""
-    vocabulary = ["alpha", "bravo", "charlie", "delta", "echo", "foxtrot", "golf", "hotel", "india", "juliet"]
+    vocabulary = "river stone cloud maple ember harbor violet canyon meadow lantern".split()
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 
 from .tables import ENGINES
 
-TEXT = ["condition_id", "kind", "transform_key", "family", "params_json", "margin_db", "utt_id", "spk", "dur_s", "status", "error", "snr_db", "stoi_proxy", "mbsd", "si_sdr_db", "rms_ratio", "ref_text"]
+TEXT = "condition_id kind transform_key family params_json margin_db utt_id spk dur_s status error snr_db stoi_proxy mbsd si_sdr_db rms_ratio ref_text".split()
 COLUMNS = TEXT + [f"{p}_{e}" for p in ("wer", "hyp") for e in ENGINES]
-NUMBERS = ["margin_db", "dur_s", "snr_db", "stoi_proxy", "mbsd", "si_sdr_db", "rms_ratio", *(f"wer_{e}" for e in ENGINES)]
+NUMBERS = [*"margin_db dur_s snr_db stoi_proxy mbsd si_sdr_db rms_ratio".split(), *(f"wer_{e}" for e in ENGINES)]
 
 
 def read_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -15,7 +15,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_entry_and_names(spark):
-    assert entry.entry(spark).columns == ["condition_id", "human_rank", "attack_rank", "gap_rank", "quality_rank"] and entry.entry(spark).count() > 0
+    assert entry.entry(spark).columns == ["condition_id", *queries.RANKS] and entry.entry(spark).count() > 0
     assert set(queries.SQL) <= set(queries.QUERIES) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
