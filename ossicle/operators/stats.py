@@ -154,14 +154,30 @@ def capacity_points(ladder: DataFrame, original: str) -> DataFrame:
     return means.join(base, "model", "left").select("condition", "model", "params_m", "n", "wer", (F.col("wer") - F.col("base")).alias("delta"), "asr_sr")
 
 
+def poisson_weight(seed: int, draw: Column, unit: Column) -> Column:
+    """How often a unit is in a draw: 0, 1, 2 ... by Poisson chances from one hash, so that draws need no collecting."""
+    u = uniform(seed, draw, unit)
+    return F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).otherwise(4)
+
+
+def fit_intervals(ladder: DataFrame, w_break: float, draws: int = 50, seed: int = 42) -> DataFrame:
+    """(condition, b_low, b_high, c_low, c_high): 95% intervals of the exponent and the break capacity.
+
+    The utterances are drawn anew, the same ones for every model, and each draw is fitted.
+    """
+    drawn = ladder.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", poisson_weight(seed, F.col("_b"), F.col("utt_id")))
+    means = drawn.groupBy("condition", "_b", "model", "params_m").agg(F.try_divide(F.sum(F.col("_w") * F.col("wer")), F.sum("_w")).alias("m"))
+    fits = power_law(means, ["condition", "_b"], "params_m", "m").withColumn("_c", break_capacity(F.col("a"), F.col("b"), w_break))
+    cuts = [(c, q, n) for c, p in (("b", "b"), ("_c", "c")) for q, n in ((0.025, f"{p}_low"), (0.975, f"{p}_high"))]
+    return fits.groupBy("condition").agg(*(F.percentile(c, F.lit(q)).alias(n) for c, q, n in cuts))
+
+
 def rank_stability(values: DataFrame, item: str, unit: str, value: str, draws: int = 50, seed: int = 42) -> DataFrame:
     """(item, low, mid, high): 5, 50 and 95% of an item's rank when the units are drawn anew.
 
-    A unit is in a draw 0, 1, 2 ... times: Poisson counts from one hash a unit and draw.
+    A unit is in a draw as often as :func:`poisson_weight` says.
     """
-    u = uniform(seed, F.col("b"), F.col(unit))
-    weight = F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).otherwise(4)
-    drawn = values.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", weight)
+    drawn = values.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson_weight(seed, F.col("b"), F.col(unit)))
     means = drawn.groupBy("b", item).agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
     ranked = means.withColumn("r", F.rank().over(Window.partitionBy("b").orderBy(F.desc_nulls_last(F.round("m", 9)))))
     return ranked.groupBy(item).agg(*(F.percentile("r", F.lit(q)).alias(n) for q, n in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))))

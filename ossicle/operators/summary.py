@@ -155,3 +155,10 @@ def experiment_pairs(frame: DataFrame, experiment: str, on: str, value: str) ->
     joined = a.join(b, (a[on] == b[on]) & (a.a < b.b)).groupBy("a", "b").agg(F.count("*").alias("n"), F.avg("va").alias("mean_a"), F.avg("vb").alias("mean_b"))
     diff = F.col("mean_a") - F.col("mean_b")
     return joined.select("a", "b", "n", diff.alias("diff"), F.when(F.abs("mean_a") > 1e-15, 100 * diff / F.col("mean_a")).otherwise(0.0).alias("relative"))
+
+
+def dominance_rank(frame: DataFrame, key: str, of: list[str]) -> DataFrame:
+    """(key, dominated_by): how many rows are as good in all of ``of`` and better in one; a summary's rows, few."""
+    other = frame.select(F.col(key).alias("_k"), *(F.col(c).alias(f"o_{c}") for c in of))
+    beats = reduce(and_, (F.col(f"o_{c}") >= F.col(c) for c in of)) & reduce(or_, (F.col(f"o_{c}") > F.col(c) for c in of))
+    return frame.join(other, beats, "left").groupBy(key).agg(F.count("_k").alias("dominated_by"))

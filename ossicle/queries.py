@@ -530,6 +530,33 @@ def rank_stability_hash(spark, sf_dir):
     return stats.rank_stability(d, "event_type", "user_id", "v")
 
 
+_WEIGHT = "case when u < 0.36787944117144233 then 0 when u < 0.7357588823428847 then 1 when u < 0.9196986029286058 then 2 when u < 0.9810118431238462 then 3 else 4 end"
+
+
+@query(f"with {_LADDER}, x as (select *, ('0x' || substr(md5('42|' || b || '|' || utt_id), 1, 8))::bigint / 4294967296.0 as u from ladder, range(50) t(b)), m as (select condition, b, model, params_m, sum({_WEIGHT} * wer) / sum({_WEIGHT}) as m from x group by all), f as (select condition, b as draw, exp(regr_intercept(ln(m), ln(params_m))) as a, -regr_slope(ln(m), ln(params_m)) as b from m group by all), c as (select *, exp((ln(a) - ln(0.01::double)) / b) as c from f) select condition, round(quantile_cont(b, 0.025), 5) as b_low, round(quantile_cont(b, 0.975), 5) as b_high, round(quantile_cont(c, 0.025), 1) as c_low, round(quantile_cont(c, 0.975), 1) as c_high from c group by 1")
+def fit_intervals_hash(spark, sf_dir):
+    """Intervals of the scaling fit from utterances drawn anew."""
+    f = stats.fit_intervals(T.ladder(spark, sf_dir), 0.01)
+    return f.select("condition", F.round("b_low", 5).alias("b_low"), F.round("b_high", 5).alias("b_high"), F.round("c_low", 1).alias("c_low"), F.round("c_high", 1).alias("c_high"))
+
+
+@query(f"with {SUMMARY}{_ROUNDED} select a.condition_id, count(b.condition_id) as dominated_by from rs a left join rs b on b.stoi_mean >= a.stoi_mean and b.cross_delta_wer >= a.cross_delta_wer and (b.stoi_mean > a.stoi_mean or b.cross_delta_wer > a.cross_delta_wer) group by 1")
+def dominance_rank(spark, sf_dir):
+    return summary.dominance_rank(_rounded(spark, sf_dir), "condition_id", ["stoi_mean", "cross_delta_wer"])
+
+
+@query(f"with {_TWO}" + " select transform_key, round((ma - mb) / sqrt(((n_a - 1) * va + (n_b - 1) * vb) / (n_a + n_b - 2)) * case when n_a + n_b - 2 > 150 then 1 else 1 - 3 / (4.0::double * (n_a + n_b - 2)) - 7 / (32.0::double * pow(n_a + n_b - 2, 2)) + 9 / (128.0::double * pow(n_a + n_b - 2, 3)) end, 6) as g from t")
+def hedges_g(spark, sf_dir):
+    return _two(spark, sf_dir).select("transform_key", F.round(stats.hedges_g(stats.cohen_d()), 6).alias("g"))
+
+
+@query()
+def p_values(spark, sf_dir):
+    """p-values of Welch's t and the rank-sum score (incomplete beta and normal functions aren't in SQL)."""
+    t, df = stats.welch()
+    return _two(spark, sf_dir).select("transform_key", F.round(stats.t_p_value(t, df), 6).alias("p_welch"), F.round(stats.z_p_value(t), 6).alias("p_normal"))
+
+
 @query("with g as (select event_type, count(*) as n, count(*) filter (value > 50) as s from events group by 1) select event_type, n, s, round((s / n + 3.8416 / (2 * n) - 1.96 * sqrt(s / n * (1 - s / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) as low, round((s / n + 3.8416 / (2 * n) + 1.96 * sqrt(s / n * (1 - s / n) / n + 3.8416 / (4 * n * n))) / (1 + 3.8416 / n), 6) as high from g")
 def wilson_ci(spark, sf_dir):
     g = T.table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.count_if(F.col("value") > 50).alias("s"))
