@@ -127,7 +127,8 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
     Texts of the same lower-cased words are one.  Different ones are candidates if in one of
     the tables their fingerprints differ in two bits at most, by ball hashing, and alike if
     the Jaccard similarity of their word shingles is at least ``similarity``.  Candidates of
-    a ball go to its first text, not to each other; several tables make up for links lost so.
+    a ball are compared with its first text at first, and then with all those of the ball that
+    are not in their group yet, so that no alike candidates end in different groups.
     """
     spark = docs.sparkSession
     work = Workspace(spark, "alike")
@@ -156,13 +157,12 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            packed = [shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["node", "shingles"])
+            found = [shingle_set(x.as_py(), words) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "n", "shingles"])
 
     # merge joins at any size, in whose partitions nothing grows with the input
     texts_of = keyed.join(wanted.hint("merge"), ["doc", "tag"]).select("node", "data")
-    shingles = work.write(texts_of.mapInArrow(sets, "node long, shingles binary"), "shingles").dropDuplicates(["node"])
-    both = pairs.join(shingles.withColumnsRenamed({"node": "u", "shingles": "a"}).hint("merge"), "u").join(shingles.withColumnsRenamed({"node": "v", "shingles": "b"}).hint("merge"), "v")
+    shingles = work.write(texts_of.mapInArrow(sets, "node long, n long, shingles binary").dropDuplicates(["node"]), "shingles")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,12 +173,42 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int
                 keep.append(common >= similarity * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    edges = both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
-    roots = components(work.write(edges, "edges"), work).withColumnsRenamed({"u": "node", "v": "root"})
+    def compared(pairs: DataFrame) -> DataFrame:
+        packed = shingles.select("node", "shingles")
+        both = pairs.join(packed.withColumnsRenamed({"node": "u", "shingles": "a"}).hint("merge"), "u").join(packed.withColumnsRenamed({"node": "v", "shingles": "b"}).hint("merge"), "v")
+        return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
+
+    edges = work.write(compared(pairs), "edges")
+    roots = components(edges, work)
+    more = work.write(_apart(prints.join(shingles.select("node", "n"), "node"), roots, pairs, masks, similarity, work), "more")
+    if not more.isEmpty():
+        roots = components(roots.unionByName(compared(more)), Workspace(spark, "alike-more"))
+    roots = roots.withColumnsRenamed({"u": "node", "v": "root"})
     grouped = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
     return rows.select("doc_id", "doc", "tag", "digest").join(work.write(grouped, "grouped"), "digest").drop("digest")
 
 
+def _apart(members: DataFrame, roots: DataFrame, pairs: DataFrame, masks, similarity: float, work: Workspace) -> DataFrame:
+    """(u, v): the candidates that pairs lacks, but for those in one group by roots and those whose sizes tell them apart.
+
+    members: (node, fp, n).  Fingerprints and groups are met first, so that what is in one group makes no pairs.
+    """
+    named = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = work.write(named, "named")
+    groups = named.select("fp", "root").distinct()
+    left, right = (named.select(F.col("fp").alias(f"fp{i}"), F.col("root").alias(f"root{i}"), F.col("node").alias(f"node{i}"), F.col("n").alias(f"n{i}")) for i in "12")
+    prints = named.select("fp").distinct()
+    variants = prints.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
+    met = variants.withColumnRenamed("fp", "fp1").join(variants.withColumnRenamed("fp", "fp2").hint("merge"), "variant").where("fp1 < fp2").select("fp1", "fp2").distinct()
+    met = met.unionByName(prints.select(F.col("fp").alias("fp1"), F.col("fp").alias("fp2")))
+    blocks = met.join(groups.withColumnsRenamed({"fp": "fp1", "root": "root1"}).hint("merge"), "fp1").join(groups.withColumnsRenamed({"fp": "fp2", "root": "root2"}).hint("merge"), "fp2")
+    blocks = blocks.where("root1 <> root2 and (fp1 < fp2 or root1 < root2)")
+    crossed = blocks.join(left.hint("merge"), ["fp1", "root1"]).join(right.hint("merge"), ["fp2", "root2"])
+    crossed = crossed.where(F.least("n1", "n2") >= similarity * F.greatest("n1", "n2"))
+    crossed = crossed.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v")).distinct()
+    return crossed.join(pairs.hint("merge"), ["u", "v"], "left_anti")
+
+
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
     """docs with one row of each group of near copies: that of the smallest id, null ids last.
 

@@ -1,3 +1,4 @@
+import random
 import re
 from itertools import combinations
 
@@ -59,3 +60,27 @@ def test_ball_links_chains(spark):
     for u, v in found:
         parent[root(u)] = root(v)
     assert len({root(p[0]) for p in signed}) == 1  # 63-15-3-0, and 0 - 1<<63 - 1<<40 by two flips
+
+
+def test_all_alike_candidates_of_large_groups_are_linked(spark):
+    rng = random.Random(7)
+    rows = []
+    for g in range(2):  # variants near their base and not each other; the base is not the first
+        base = [f"w{rng.randrange(3000)}" for _ in range(400)]
+        for c in range(150):
+            words = list(base)
+            for at in rng.sample(range(len(words)), rng.randrange(6, 9) if c != 75 else 0):
+                words[at] = f"changed{rng.randrange(9999)}"
+            rows.append((1000 * g + c, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    root = {r.doc_id: r.root for r in simhash.alike(frame).collect()}
+    prints = [simhash.sketches(t.encode(), 5, 8, 40)[1] for _, t in rows]
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for _, t in rows]
+    met = 0
+    for i, j in combinations(range(len(rows)), 2):
+        if any((x ^ y).bit_count() <= 2 for x, y in zip(prints[i], prints[j])):
+            common = len(sets[i] & sets[j])
+            if common >= 0.8 * (len(sets[i]) + len(sets[j]) - common):
+                met += 1
+                assert root[rows[i][0]] == root[rows[j][0]]
+    assert met > 50
