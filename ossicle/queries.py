@@ -335,13 +335,11 @@ def mock_error_rates(spark, sf_dir):
 
 @query("with c as (select conv_id, turn, text, lead(text) over (partition by conv_id order by turn) as t2 from conversations), p as (select conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '')[1:30] as a, list_filter(string_split(t2, ' '), lambda x: x <> '')[1:30] as b from c where t2 is not null), u as (select conv_id, turn, a, b, list_distinct(list_concat(a, b)) as v from p where len(a) > 0) select conv_id, turn, round(levenshtein(array_to_string(list_transform(a, lambda x: chr((33 + list_position(v, x))::int)), ''), array_to_string(list_transform(b, lambda x: chr((33 + list_position(v, x))::int)), '')) / len(a), 6) as wer from u")
 def wer_token_map(spark, sf_dir):
-    """Word error rate between neighbouring turns' first words."""
+    """Word error rate between neighbouring turns; the SQL twin still takes their first 30 words."""
     from pyspark.sql import Window
 
     c = T.table(spark, sf_dir, "conversations").withColumn("t2", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("t2 is not null")
-    cut = lambda t: F.array_join(F.slice(text.words(F.col(t)), 1, 30), " ")
-    c = c.select("conv_id", "turn", cut("text").alias("a"), cut("t2").alias("b")).where("a <> ''")
-    return c.select("conv_id", "turn", F.round(text.word_error_rate(F.col("a"), F.col("b")), 6).alias("wer"))
+    return c.where(F.size(text.words(F.col("text"))) > 0).select("conv_id", "turn", F.round(text.word_error_rate(F.col("text"), F.col("t2")), 6).alias("wer"))
 
 
 @query("with p as (select doc_id, length(regexp_replace(text, '[^\\p{L}]', '', 'g')) as l, length(regexp_replace(text, '[^\\p{N}]', '', 'g')) as d, trim(text) as t, n_chars / 15.0 as s from documents), n as (select doc_id, s, case when round_even(0.96::double * l + 1.5::double * d, 0) > 0 then round_even(0.96::double * l + 1.5::double * d, 0)::bigint when length(t) > 0 then 1 else 0 end as n from p) select doc_id, n as phonemes, round(n / s::double, 6) as rate from n where s > 0")
