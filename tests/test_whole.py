@@ -1,7 +1,11 @@
 """Queries look at all of their rows and texts: against brute force, as their SQL twins are cut."""
 
+import hashlib
+import math
 import random
 
+import numpy as np
+
 from ossicle import queries
 
 
@@ -27,3 +31,23 @@ def test_wer_token_map_compares_whole_turns(spark, tmp_path):
             want[c, t] = round(distance(a, y.split()) / len(a), 6)
     got = {(r.conv_id, r.turn): r.wer for r in queries.QUERIES["wer_token_map"](spark, str(tmp_path)).collect()}
     assert got == want
+
+
+def test_bootstrap_draws_from_all_events(spark, tmp_path):
+    rng = random.Random(5)
+    events = [(i, 20 + i % 300, "ab"[i % 2], None if i % 50 == 0 else rng.gauss(10 * (i % 2), 3)) for i in range(600)]
+    spark.createDataFrame(events, "event_id long, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/events.parquet")
+    chances, below = [], 0.0
+    for k in range(12):
+        below += math.exp(-1) / math.factorial(k)
+        chances.append(below)
+    got = {r.event_type: (r.low, r.high) for r in queries.QUERIES["bootstrap_ci_hash"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"a", "b"}
+    for kind, (low, high) in got.items():
+        values = [(i, v) for i, _, t, v in events if t == kind and v is not None]
+        means = []
+        for b in range(100):
+            u = [int(hashlib.md5(f"42|{b}|{i}".encode()).hexdigest()[:8], 16) / 2**32 for i, _ in values]
+            w = [sum(x >= c for c in chances) for x in u]
+            means.append(sum(n * v for n, (_, v) in zip(w, values)) / sum(w))
+        assert np.allclose([low, high], np.quantile(means, [0.025, 0.975]), atol=2e-5)
