@@ -51,3 +51,15 @@ def test_bootstrap_draws_from_all_events(spark, tmp_path):
             w = [sum(x >= c for c in chances) for x in u]
             means.append(sum(n * v for n, (_, v) in zip(w, values)) / sum(w))
         assert np.allclose([low, high], np.quantile(means, [0.025, 0.975]), atol=2e-5)
+
+
+def test_mock_error_rates_keeps_all_scripts(spark, tmp_path):
+    texts = ["one two three four", "été à côté", "слово за словом", "数 据 操作", "straße 1 2", "", None, "!?"]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r.item_id: (r.wer, r.cer) for r in queries.QUERIES["mock_error_rates"](spark, str(tmp_path)).collect()}
+    want = {}
+    for i, t in enumerate(texts[:5]):
+        ws = t.split()
+        hs = [w if k % 2 == 0 else "mumble" for k, w in enumerate(ws)]
+        want[i] = (round(distance(ws, hs) / len(ws), 6), round(distance(t, " ".join(hs)) / len(t), 6))
+    assert got == want
