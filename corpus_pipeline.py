@@ -36,8 +36,8 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document stands in sequences of 2,048 tokens."""
-    return packing.packed_documents(docs, tokenizer_path(), capacity=2048, end_id=0)
+    """Where each piece of each document stands in sequences of 2,048 tokens, numbered along the mixed order."""
+    return packing.packed_documents(docs, tokenizer_path(), capacity=2048, end_id=0, ordered=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from ossicle.llm import simhash
+from ossicle.llm.work import Workspace
 
 SF = "/root/testdata/sf0.001"
 
@@ -61,3 +62,30 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         out = stage(spark, docs, SF)
         assert out.count() == 0
+
+
+def test_sequences_follow_the_mixed_order(spark):
+    rng = random.Random(6)
+    docs = [(i, " ".join(f"w{rng.randrange(90)}" for _ in range(rng.randrange(250, 700))), "small" if i >= 640 else "large") for i in range(680)]
+    rng.shuffle(docs)
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(3)
+    work = Workspace(spark, "mixed-test")
+    mixed = work.write(corpus_pipeline.mixed_sources(spark, frame, SF), "mixed")
+    rows = corpus_pipeline.packed_sequences(spark, mixed, SF).collect()
+    assert {r.doc_id for r in rows} == set(range(680))
+    tokens = sorted(rows, key=lambda r: (r.sequence_id, r.offset))
+    total, at, small = sum(r.length for r in rows), 0, [0, 0]
+    for r in tokens:  # weights of 4 to 1 until the small source ends, after 200 of 680 documents
+        small[at > 0.4 * total] += r.length * (r.doc_id >= 640)
+        at += r.length
+    assert small[0] > 0.55 * sum(small)  # shorter pieces fill gaps anywhere in their range
+    places = {r.doc_id: i for i, r in enumerate(mixed.selectExpr("doc_id", "_metadata.file_name as f", "_metadata.row_index as n").orderBy("f", "n").collect())}
+    lead = {}
+    for r in tokens:
+        lead[r.sequence_id] = max(lead.get(r.sequence_id, (0, 0)), (r.length, -places[r.doc_id]))
+    order = [-lead[s][1] for s in sorted(lead)]
+    assert order == sorted(order)
+    ids = {i: d for d, i in places.items()}
+    leads = [ids[i] >= 640 for i in order]
+    assert sum(leads[: len(leads) * 4 // 10]) == sum(leads) > 5
+    assert sum(leads[: len(leads) // 4]) > 0.13 * (len(leads) // 4)  # 0.2 by the weights, 0.06 without
