@@ -29,6 +29,8 @@ from .tokens import encoded
 from .work import Workspace, sweep, texts
 
 WINDOW, BITS, LEAST, MOST = 16, 9, 64, 4096
+#: The mixed values of narrow ids.
+_MIXED = anchors.mix(np.arange(1, (1 << 16) + 1, dtype=np.uint64))
 _STAGED = "kind int, doc_id long, n_tokens long, chunks array<binary>, digest binary, payload binary"
 _RECIPES = "shard int, pos long, doc_id long, n_tokens long, chunks array<binary>, root binary, kind int"
 
@@ -37,8 +39,8 @@ def breaks(ids: np.ndarray) -> np.ndarray:
     """Places after which the rolling hash of the last WINDOW ids cuts."""
     found = []
     for at in range(0, max(len(ids) - WINDOW + 1, 0), anchors.SLAB - WINDOW):
-        part = ids[at : at + anchors.SLAB].astype(np.uint64)
-        sums = anchors.prefix(anchors.mix(part + np.uint64(1)), 0)
+        part = ids[at : at + anchors.SLAB]
+        sums = anchors.prefix(_MIXED[part] if part.max() < len(_MIXED) else anchors.mix(part.astype(np.uint64) + np.uint64(1)), 0)
         ends = np.arange(WINDOW, len(part) + 1)
         rolled = anchors.mix(anchors.spans(sums, 0, ends - WINDOW, ends))
         found.append(at + ends[(rolled >> np.uint64(64 - BITS)) == 0])
@@ -85,13 +87,14 @@ def _staged(tokenizer: str, end_id: int):
         ids = np.concatenate(parts) if parts else np.empty(0, np.uint32)
         stops = np.cumsum([len(p) for p in parts])
         marks = breaks(ids)
+        narrow = ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else None
         rows = []
         for doc, part, stop in zip(docs, parts, stops):
             start = stop - len(part)
             mine = marks[np.searchsorted(marks, start + WINDOW) : np.searchsorted(marks, stop)] - start
             digests, at = [], 0
             for end in cuts(len(part), mine.tolist()):
-                data = payload(part[at:end])
+                data = payload(part[at:end]) if narrow is None else b"\2" + narrow[2 * (start + at) : 2 * (start + end)]
                 digests.append(digest := hashlib.sha256(data).digest())
                 at = end
                 if digest not in seen:
