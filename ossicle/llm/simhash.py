@@ -20,8 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import repeats
-from .anchors import mix
+from . import overlap, repeats
 from .components import components
 from .work import Workspace, sweep, texts
 
@@ -98,115 +97,91 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketches(data: bytes, words: int, tables: int, bits: int) -> tuple[bytes, list[int]]:
-    """(a digest of the lower-cased words, fingerprints of their set, one of ``bits`` bits for each table).
-
-    Near copies share nearly all words, so word sets give closer fingerprints than shingles
-    do; whether two texts are alike is decided on their shingles.
-    """
-    found = data.lower().split()
-    digest = xxhash.xxh3_128_digest(b" ".join(found))
-    digests = [xxhash.xxh64_intdigest(w, SEED + 1) for w in set(found)]
-    seeds = np.arange(1, -(-tables * bits // 64) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    ones = []
-    for seed in seeds:
-        x = mix(np.array(digests, np.uint64) ^ seed)
-        spread = np.unpackbits(x.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones.append(2 * spread.sum(axis=0, dtype=np.int64) > len(x))
-    flat = np.concatenate(ones)[: tables * bits].reshape(tables, bits)
-    return digest, (flat @ (1 << np.arange(bits, dtype=np.int64))).tolist()
-
-
-def shingle_set(data: bytes, words: int) -> np.ndarray:
-    return np.unique(shingle_hashes(data, words))
-
-
-def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, tables: int = 8, bits: int = 40, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, doc, tag, root): rows by id and text, with the group that near copies form.
-
-    Texts of the same lower-cased words are one.  Different ones are candidates if in one of
-    the tables their fingerprints differ in two bits at most, by ball hashing, and alike if
-    the Jaccard similarity of their word shingles is at least ``similarity``.  Candidates of
-    a ball are compared with its first text at first, and then with all those of the ball that
-    are not in their group yet, so that no alike candidates end in different groups.
-    """
-    spark = docs.sparkSession
-    work = Workspace(spark, "alike")
+def _sketched(words: int, slots: int):
+    """Rows of kind 0 with the digest, fingerprint and number of shingles of each text, then counters of kind 1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter, names = overlap.Counter(slots), ["kind", "doc_id", "doc", "tag", "digest", "fp", "n", "block", "counts"]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            found = [sketches(x.as_py(), words, tables, bits) for x in batch.column(3)]
-            digests, prints = zip(*found) if found else ([], [])
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(digests, pa.binary()), pa.array(prints, pa.list_(pa.int64()))], ["doc_id", "doc", "tag", "digest", "prints"])
-
-    keyed = repeats.keyed(docs, id_col, text_col)
-    rows = work.write(keyed.mapInArrow(run, "doc_id long, doc long, tag long, digest binary, prints array<long>"), "rows")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "tag", "prints"))
-    texts_ = rows.groupBy("digest").agg(first.alias("own")).select("digest", "own.*").withColumn("node", F.monotonically_increasing_id())
-    nodes = work.write(texts_, "nodes")
-    prints = nodes.select("node", F.posexplode("prints").alias("t", "fp")).withColumn("fp", F.col("fp").bitwiseOR(F.shiftleft(F.col("t").cast("long"), bits))).drop("t")
-    prints = work.write(prints, "prints")
-    centres = prints.groupBy("fp").agg(F.min("node").alias("v"))
-    same = prints.join(centres, "fp").where("node > v").select(F.col("node").alias("u"), "v")
-    masks = F.array(*(F.lit(m) for m in [0, *(1 << b for b in range(bits))]))
-    variants = centres.select("v", F.explode(masks).alias("mask"), "fp").select(F.col("v").alias("u"), F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.select("u", F.min("u").over(Window.partitionBy("variant")).alias("v")).where("u > v")
-    pairs = work.write(same.unionByName(met).distinct(), "pairs")
-    sweep(spark)
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc", "tag")
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [shingle_set(x.as_py(), words) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in found], pa.int64()), pa.array([x.tobytes() for x in found], pa.binary())], ["node", "n", "shingles"])
-
-    # merge joins at any size, in whose partitions nothing grows with the input
-    texts_of = keyed.join(wanted.hint("merge"), ["doc", "tag"]).select("node", "data")
-    shingles = work.write(texts_of.mapInArrow(sets, "node long, n long, shingles binary").dropDuplicates(["node"]), "shingles")
+            digests, prints, sets, size = [], [], [], 0
+            for x in batch.column(3):
+                data = x.as_py()
+                hashes = overlap.word_shingles(data, words)
+                digests.append(xxhash.xxh3_128_digest(b" ".join(data.lower().split())))
+                prints.append(fingerprint(hashes))
+                sets.append(np.unique(hashes))
+            counter.add(sets)
+            n = batch.num_rows
+            columns = [[0] * n, batch.column(0), batch.column(1), batch.column(2), digests, prints, [len(x) for x in sets], [None] * n, [None] * n]
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
+        if counter.counts.any():
+            blocks = counter.blocks()
+            columns = [[1] * len(blocks), *([None] * len(blocks) for _ in range(6)), *zip(*blocks)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+
+    return run
+
+
+def _ball_pairs(nodes: DataFrame, radius: int) -> DataFrame:
+    """(u, v) that connect the nodes whose fingerprints are within radius bits of each other: see :func:`links`."""
+    centres = nodes.groupBy("fp").agg(F.min("node").alias("centre"))
+    same = nodes.join(centres.hint("merge"), "fp").where("node > centre").select(F.col("node").alias("u"), F.col("centre").alias("v"))
+    ends = (centres.withColumnsRenamed({"fp": a, "centre": b}).hint("merge") for a, b in (("u", "cu"), ("v", "cv")))
+    met = links(centres.select("fp"), radius).join(next(ends), "u").join(next(ends), "v").select(F.greatest("cu", "cv").alias("u"), F.least("cu", "cv").alias("v"))
+    return same.unionByName(met)
+
+
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, turns: int = 3, slots: int = overlap.SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, doc, tag, root): rows by id and text, with the group that near copies form.
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3)):
-                a, b = (np.frombuffer(x.as_py(), np.uint64) for x in (a, b))
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                keep.append(common >= similarity * (len(a) + len(b) - common))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    def compared(pairs: DataFrame) -> DataFrame:
-        packed = shingles.select("node", "shingles")
-        both = pairs.join(packed.withColumnsRenamed({"node": "u", "shingles": "a"}).hint("merge"), "u").join(packed.withColumnsRenamed({"node": "v", "shingles": "b"}).hint("merge"), "v")
-        return both.select("u", "v", "a", "b").mapInArrow(compare, "u long, v long")
-
-    edges = work.write(compared(pairs), "edges")
-    roots = components(edges, work)
-    more = work.write(_apart(prints.join(shingles.select("node", "n"), "node"), roots, pairs, masks, similarity, work), "more")
-    if not more.isEmpty():
-        roots = components(roots.unionByName(compared(more)), Workspace(spark, "alike-more"))
-    roots = roots.withColumnsRenamed({"u": "node", "v": "root"})
-    grouped = nodes.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("root"))
-    return rows.select("doc_id", "doc", "tag", "digest").join(work.write(grouped, "grouped"), "digest").drop("digest")
-
-
-def _apart(members: DataFrame, roots: DataFrame, pairs: DataFrame, masks, similarity: float, work: Workspace) -> DataFrame:
-    """(u, v): the candidates that pairs lacks, but for those in one group by roots and those whose sizes tell them apart.
-
-    members: (node, fp, n).  Fingerprints and groups are met first, so that what is in one group makes no pairs.
+    Texts of the same lower-cased words are one; wordless ones, too.  Two texts are alike if the Jaccard similarity
+    of their word shingles is at least ``similarity``, and a group is what such links connect.  No link between
+    groups is lost: texts whose fingerprints are within ``radius`` bits meet first, by ball
+    hashing, and are verified on their shingles; ball hashing can't reach a similarity of 0.8, some 10 of
+    64 bits, so exact prefixes (see :mod:`overlap`) complete it.  There, ``turns`` times each bucket's texts are compared
+    with a centre only, and at last all that still meet in different groups.
     """
-    named = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    named = work.write(named, "named")
-    groups = named.select("fp", "root").distinct()
-    left, right = (named.select(F.col("fp").alias(f"fp{i}"), F.col("root").alias(f"root{i}"), F.col("node").alias(f"node{i}"), F.col("n").alias(f"n{i}")) for i in "12")
-    prints = named.select("fp").distinct()
-    variants = prints.select("fp", F.explode(masks).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
-    met = variants.withColumnRenamed("fp", "fp1").join(variants.withColumnRenamed("fp", "fp2").hint("merge"), "variant").where("fp1 < fp2").select("fp1", "fp2").distinct()
-    met = met.unionByName(prints.select(F.col("fp").alias("fp1"), F.col("fp").alias("fp2")))
-    blocks = met.join(groups.withColumnsRenamed({"fp": "fp1", "root": "root1"}).hint("merge"), "fp1").join(groups.withColumnsRenamed({"fp": "fp2", "root": "root2"}).hint("merge"), "fp2")
-    blocks = blocks.where("root1 <> root2 and (fp1 < fp2 or root1 < root2)")
-    crossed = blocks.join(left.hint("merge"), ["fp1", "root1"]).join(right.hint("merge"), ["fp2", "root2"])
-    crossed = crossed.where(F.least("n1", "n2") >= similarity * F.greatest("n1", "n2"))
-    crossed = crossed.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v")).distinct()
-    return crossed.join(pairs.hint("merge"), ["u", "v"], "left_anti")
+    work = Workspace(docs.sparkSession, "alike")
+    keyed = repeats.keyed(docs, id_col, text_col)
+    schema = "kind int, doc_id long, doc long, tag long, digest binary, fp long, n long, block int, counts binary"
+    keyed.mapInArrow(_sketched(words, slots), schema).write.partitionBy("kind").parquet(work.path("sketched"))
+    sketched = work.read("sketched", schema)
+    rows = sketched.where("kind = 0").select("doc_id", "doc", "tag", "digest", "fp", "n")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "tag", "fp", "n"))
+    nodes = rows.groupBy("digest").agg(least.alias("own")).select("digest", "own.*").withColumn("node", F.monotonically_increasing_id())
+    nodes = work.write(nodes, "nodes")
+    repeated = not rows.groupBy("doc", "tag").count().where("count > 1").isEmpty()
+    once = (lambda df: df.dropDuplicates(["node"])) if repeated else (lambda df: df)
+    level = overlap.levels(sketched.where("kind = 1").select("block", "counts"), rows.agg(F.sum("n")).first()[0] or 0, slots)
+    places = nodes.select("doc", "tag", "node", "n").hint("merge")
+    work.write(once(overlap.prefixes(keyed, words, similarity, level).join(places, ["doc", "tag"]).select("node", "n", "sigs")), "prefixes")
+    members = work.write(overlap.members(work.read("prefixes", "node long, n long, sigs array<long>")), "members")
+    work.drop("prefixes")
+    sweep(docs.sparkSession)
+    wanted = members.select("node").distinct().join(nodes.hint("merge"), "node").select("node", "doc", "tag").hint("merge")
+    shingles = work.write(once(overlap.sets(keyed.join(wanted, ["doc", "tag"]), words)), "shingles")
+    sweep(docs.sparkSession)
+
+    def named(roots: DataFrame) -> DataFrame:
+        found = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}).hint("merge"), "node", "left")
+        return work.write(found.select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "named")
+
+    first = overlap.with_centres(members.withColumn("root", F.col("node")), 0, similarity)
+    pairs = work.write(first.unionByName(_ball_pairs(nodes.select("node", "fp"), radius)).distinct(), "pairs")
+    roots = components(work.write(overlap.alike(pairs, shingles, similarity), "found"), work)
+    for turn in range(1, turns + 1):
+        last = turn == turns
+        pairs = overlap.across_groups(named(roots), similarity) if last else overlap.with_centres(named(roots), turn, similarity)
+        pairs = work.write(pairs, f"pairs{turn}")
+        edges = work.write(overlap.alike(pairs, shingles, similarity), f"found{turn}")
+        if not edges.isEmpty():
+            roots = components(roots.unionByName(edges), Workspace(docs.sparkSession, "alike-groups"))
+    for table in ("named", "members", "shingles"):
+        work.drop(table)
+    grouped = nodes.select("digest", "node").join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
+    grouped = work.write(grouped.select("digest", F.coalesce("root", "node").alias("root")), "grouped")
+    return rows.select("doc_id", "doc", "tag", "digest").join(grouped, "digest").drop("digest")
 
 
 def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", **more) -> DataFrame:
