@@ -10,6 +10,7 @@ the others.  What the counters say changes how many candidates meet, never which
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .anchors import mix
 
-#: Counters, and how many of them are a row.
-SLOTS, BLOCK = 1 << 20, 1 << 16
+#: Counters, how many of them are a row, and the bits of a text's marks.
+SLOTS, BLOCK, MARKS = 1 << 20, 1 << 16, 1024
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -57,7 +58,12 @@ class Counter:
             self.counts += np.bincount(slot_of(np.concatenate(sets), self.slots), minlength=self.slots)
 
     def blocks(self) -> list[tuple[int, bytes]]:
-        return [(i, self.counts[at : at + BLOCK].astype("<u4").tobytes()) for i, at in enumerate(range(0, self.slots, BLOCK))]
+        """Each block's counts, their low bytes first, compressed: most are small."""
+        return [(i, zlib.compress(self.counts[at : at + BLOCK].astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)) for i, at in enumerate(range(0, self.slots, BLOCK))]
+
+
+def unpacked(block: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(block), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
 def levels(blocks: DataFrame, total: int, slots: int) -> np.ndarray:
@@ -68,7 +74,7 @@ def levels(blocks: DataFrame, total: int, slots: int) -> np.ndarray:
     usual = 2 * total / slots + 8
 
     def run(key, table):
-        counts = sum(np.frombuffer(x, "<u4").astype(np.int64) for x in table.column("counts").to_pylist())
+        counts = sum(map(unpacked, table.column("counts").to_pylist()))
         at = np.flatnonzero(counts > usual)
         level = 1 + np.log2(counts[at] / usual).astype(np.int32)
         return pa.table({"slot": pa.array(at + key[0].as_py() * BLOCK, pa.int64()), "level": pa.array(level, pa.int32())})
@@ -91,15 +97,21 @@ def prefix(shingles: np.ndarray, similarity: float, level: np.ndarray) -> np.nda
     return shingles[np.lexsort((shingles, heights))[:size]] if heights.any() else shingles[:size]
 
 
+def marks(shingles: np.ndarray) -> bytes:
+    """A bit is 1 if an odd number of a set's members fall on it, so that sets differ in no fewer members than bits."""
+    return np.packbits(np.bincount((shingles % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1 == 1).tobytes()
+
+
 def prefixes(rows: DataFrame, words: int, similarity: float, level: np.ndarray) -> DataFrame:
-    """(doc, tag, sigs) from (doc, tag, data)."""
+    """(doc, tag, sigs, marks) from (doc, tag, data)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [prefix(shingle_set(x.as_py(), words), similarity, level).view(np.int64) for x in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.int64()))], ["doc", "tag", "sigs"])
+            sets = [shingle_set(x.as_py(), words) for x in batch.column(2)]
+            found = pa.array([prefix(x, similarity, level).view(np.int64) for x in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found, pa.array(map(marks, sets), pa.binary())], ["doc", "tag", "sigs", "marks"])
 
-    return rows.select("doc", "tag", "data").mapInArrow(run, "doc long, tag long, sigs array<long>")
+    return rows.select("doc", "tag", "data").mapInArrow(run, "doc long, tag long, sigs array<long>, marks binary")
 
 
 def sets(rows: DataFrame, words: int) -> DataFrame:
@@ -114,9 +126,9 @@ def sets(rows: DataFrame, words: int) -> DataFrame:
 
 
 def members(prefixes: DataFrame) -> DataFrame:
-    """(sig, node, n): the prefixes of two nodes or more, from (node, n, sigs)."""
+    """(sig, node, n): the prefixes that several nodes hold, from (node, n, sigs), a row for each node."""
     each = prefixes.select("node", "n", F.explode("sigs").alias("sig"))
-    shared = each.groupBy("sig").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("sig")
+    shared = each.groupBy("sig").count().where("count > 1").select("sig")
     return each.join(shared.hint("merge"), "sig").select("sig", "node", "n")
 
 
@@ -146,8 +158,23 @@ def across_groups(named: DataFrame, similarity: float) -> DataFrame:
     return met.select(F.greatest("node1", "node2").alias("u"), F.least("node1", "node2").alias("v")).distinct()
 
 
+def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) that sizes and marks don't rule out; marked: (node, n, marks)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 4))
+                most = (1 - similarity) / (1 + similarity) * batch.column(2).to_numpy()  # differing members of alike sets
+                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most + 1e-6))
+
+    left, right = (marked.withColumnsRenamed({"node": end, "n": f"n{end}", "marks": f"m{end}"}) for end in "uv")
+    both = pairs.join(left, "u").join(right, "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), "mu", "mv")
+    return both.mapInArrow(run, "u long, v long")
+
+
 def alike(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose sets have at least that Jaccard similarity; merge joins, in whose partitions nothing grows with the input."""
+    """The pairs (u, v) whose sets have at least that Jaccard similarity; shingles: (node, shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,5 +185,5 @@ def alike(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame
                 keep.append(common + 1e-9 >= similarity * (len(a) + len(b) - common))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left, right = (shingles.withColumnsRenamed({"node": end, "shingles": name}).hint("merge") for end, name in (("u", "a"), ("v", "b")))
+    left, right = (shingles.withColumnsRenamed({"node": end, "shingles": name}) for end, name in (("u", "a"), ("v", "b")))
     return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")

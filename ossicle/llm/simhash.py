@@ -132,7 +132,7 @@ def _ball_pairs(nodes: DataFrame, radius: int) -> DataFrame:
     return same.unionByName(met)
 
 
-def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, turns: int = 3, slots: int = overlap.SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 2, turns: int = 2, slots: int = overlap.SLOTS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, doc, tag, root): rows by id and text, with the group that near copies form.
 
     Texts of the same lower-cased words are one; wordless ones, too.  Two texts are alike if the Jaccard similarity
@@ -140,7 +140,7 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     groups is lost: texts whose fingerprints are within ``radius`` bits meet first, by ball
     hashing, and are verified on their shingles; ball hashing can't reach a similarity of 0.8, some 10 of
     64 bits, so exact prefixes (see :mod:`overlap`) complete it.  There, ``turns`` times each bucket's texts are compared
-    with a centre only, and at last all that still meet in different groups.
+    with a centre only, which joins most of them, and at last all that still meet in different groups.
     """
     work = Workspace(docs.sparkSession, "alike")
     keyed = repeats.keyed(docs, id_col, text_col)
@@ -155,29 +155,35 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     once = (lambda df: df.dropDuplicates(["node"])) if repeated else (lambda df: df)
     level = overlap.levels(sketched.where("kind = 1").select("block", "counts"), rows.agg(F.sum("n")).first()[0] or 0, slots)
     places = nodes.select("doc", "tag", "node", "n").hint("merge")
-    work.write(once(overlap.prefixes(keyed, words, similarity, level).join(places, ["doc", "tag"]).select("node", "n", "sigs")), "prefixes")
-    members = work.write(overlap.members(work.read("prefixes", "node long, n long, sigs array<long>")), "members")
-    work.drop("prefixes")
+    prefixes = work.write(once(overlap.prefixes(keyed, words, similarity, level).join(places, ["doc", "tag"]).select("node", "n", "sigs", "marks")), "prefixes")
     sweep(docs.sparkSession)
-    wanted = members.select("node").distinct().join(nodes.hint("merge"), "node").select("node", "doc", "tag").hint("merge")
-    shingles = work.write(once(overlap.sets(keyed.join(wanted, ["doc", "tag"]), words)), "shingles")
+    members = work.write(overlap.members(prefixes), "members")
     sweep(docs.sparkSession)
 
+    def linked(pairs: DataFrame, turn: int) -> DataFrame:
+        """The pairs that are alike: sizes and marks rule out most others, and what is left compares its shingles."""
+        left = work.write(overlap.possible(pairs, prefixes.select("node", "n", "marks"), similarity), f"left{turn}")
+        if left.isEmpty():
+            return left
+        wanted = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc", "tag")
+        shingles = work.write(once(overlap.sets(keyed.join(wanted, ["doc", "tag"]), words)), "shingles")
+        found = work.write(overlap.alike(left, shingles, similarity), f"found{turn}")
+        work.drop("shingles")
+        sweep(docs.sparkSession)
+        return found
+
     def named(roots: DataFrame) -> DataFrame:
-        found = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}).hint("merge"), "node", "left")
+        found = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
         return work.write(found.select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "named")
 
     first = overlap.with_centres(members.withColumn("root", F.col("node")), 0, similarity)
-    pairs = work.write(first.unionByName(_ball_pairs(nodes.select("node", "fp"), radius)).distinct(), "pairs")
-    roots = components(work.write(overlap.alike(pairs, shingles, similarity), "found"), work)
+    roots = components(linked(first.unionByName(_ball_pairs(nodes.select("node", "fp"), radius)).distinct(), 0), work)
     for turn in range(1, turns + 1):
-        last = turn == turns
-        pairs = overlap.across_groups(named(roots), similarity) if last else overlap.with_centres(named(roots), turn, similarity)
-        pairs = work.write(pairs, f"pairs{turn}")
-        edges = work.write(overlap.alike(pairs, shingles, similarity), f"found{turn}")
+        now = named(roots)
+        edges = linked(overlap.across_groups(now, similarity) if turn == turns else overlap.with_centres(now, turn, similarity), turn)
         if not edges.isEmpty():
             roots = components(roots.unionByName(edges), Workspace(docs.sparkSession, "alike-groups"))
-    for table in ("named", "members", "shingles"):
+    for table in ("named", "members", "prefixes"):
         work.drop(table)
     grouped = nodes.select("digest", "node").join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
     grouped = work.write(grouped.select("digest", F.coalesce("root", "node").alias("root")), "grouped")
