@@ -2,10 +2,12 @@
 
 DataFrame operations only.  Per host, paths become templates: digits and long hexadecimal runs
 are wildcards at once, and a segment turns into ``*`` under a parent that has more different
-children than ``most_children``, level by level from the host.  Templates under one parent whose
-labelled bad shares don't differ significantly are merged.  A template is rejected if its
-share of bad labelled pages, smoothed towards its host's and that towards the whole table's, reaches
-``reject_at``.
+children than ``most_children``, level by level from the host; what lies below ``depth`` segments is one
+wildcard.  Templates under one parent whose labelled bad shares don't differ significantly are merged: those with ``few`` labels
+or more form branches, each template being compared with the whole branch so far, and the others then take
+the evidence of the nearest branch on top of their own, while those without labels go by their host's.
+A template is rejected if its branch's share of bad labelled pages, smoothed towards its host's and that towards
+the whole table's by ``prior`` labels, reaches ``reject_at``.
 """
 
 from __future__ import annotations
@@ -72,32 +74,56 @@ def _templates(shapes: DataFrame, most_children: int, depth: int, work: Workspac
     return out.drop("_segs")
 
 
-def _judged(found: DataFrame, most_children: int, depth: int, prior: float, z: float, reject_at: float, least_labelled: int, work: Workspace) -> DataFrame:
+def _apart(l1: Column, b1: Column, l2: Column, b2: Column, z: float) -> Column:
+    """Whether two shares of bad labels, b of l, differ significantly (Wilson-like, half a label is added)."""
+    pooled = (b1 + b2 + 0.5) / (l1 + l2 + 1.0)
+    spread = F.sqrt(pooled * (1 - pooled) * (1 / (l1 + 1.0) + 1 / (l2 + 1.0)))
+    return F.abs((b1 + 0.5) / (l1 + 1.0) - (b2 + 0.5) / (l2 + 1.0)) > z * spread
+
+
+def _branches(known: DataFrame, z: float) -> DataFrame:
+    """(host, parent, bl, bb, names) from labelled templates: in order of their shares, each joins the branch so far unless it differs from all of that.
+
+    A parent has ``most_children`` children and a wildcard at most, so its list is short.
+    """
+    each = F.array_sort(F.collect_list(F.struct(((F.col("b") + 0.5) / (F.col("l") + 1.0)).alias("share"), "template", "l", "b")))
+
+    def step(done: Column, t: Column) -> Column:
+        last = F.try_element_at(done, F.lit(-1))
+        fresh = F.struct(t["l"].alias("bl"), t["b"].alias("bb"), F.array(t["template"]).alias("names"))
+        joined = F.struct((last["bl"] + t["l"]).alias("bl"), (last["bb"] + t["b"]).alias("bb"), F.concat(last["names"], F.array(t["template"])).alias("names"))
+        before = F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0)))
+        return F.when((F.size(done) == 0) | _apart(last["bl"], last["bb"], t["l"], t["b"], z), F.concat(done, F.array(fresh))).otherwise(F.concat(before, F.array(joined)))
+
+    none = F.expr("cast(array() as array<struct<bl:bigint,bb:bigint,names:array<string>>>)")
+    return known.groupBy("host", "parent").agg(each.alias("_ts")).select("host", "parent", F.inline(F.aggregate("_ts", none, step)))
+
+
+def _judged(found: DataFrame, most_children: int, depth: int, prior: float, z: float, reject_at: float, few: int, work: Workspace) -> DataFrame:
     """(host, shape, template, purity, rejected) from shapes with n, labelled and bad."""
     named = _templates(found, most_children, depth, work)
-    stats = named.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b"))
+    stats = work.write(named.groupBy("host", "parent", "template").agg(F.sum("labelled").alias("l"), F.sum("bad").alias("b")), "templates")
     total = stats.agg(F.sum("b"), F.sum("l")).first()
     overall = (total[0] or 0) / max(total[1] or 0, 1)
     hosts = stats.groupBy("host").agg(F.sum("l").alias("hl"), F.sum("b").alias("hb"))
-    share = (F.col("b") + 0.5) / (F.col("l") + 1.0)
-    under = Window.partitionBy("host", "parent").orderBy("_share", "template")
-    before_l, before_b = F.lag("l").over(under), F.lag("b").over(under)
-    pooled = (F.col("b") + before_b + 0.5) / (F.col("l") + before_l + 1.0)
-    spread = F.sqrt(pooled * (1 - pooled) * (1 / (F.col("l") + 1.0) + 1 / (before_l + 1.0)))
-    apart = F.abs(share - (before_b + 0.5) / (before_l + 1.0)) > z * spread
-    merged = stats.withColumn("_share", share).withColumn("_new", F.coalesce(apart, F.lit(False)).cast("int"))
-    merged = merged.withColumn("_branch", F.sum("_new").over(under))
-    branches = merged.groupBy("host", "parent", "_branch").agg(F.sum("l").alias("bl"), F.sum("b").alias("bb"))
+    branches = work.write(_branches(stats.where(F.col("l") >= few), z), "branches")
+    own = branches.select("host", F.explode("names").alias("template"), "bl", "bb")
+    # the rest changes no branch: with some labels it takes the evidence of the nearest branch, if it does not differ from that
+    share = lambda b, l: (F.col(b) + 0.5) / (F.col(l) + 1.0)  # noqa: E731, E741
+    near = stats.where((F.col("l") < few) & (F.col("l") > 0)).join(branches.drop("names"), ["host", "parent"])
+    near = near.where(~_apart(F.col("bl"), F.col("bb"), F.col("l"), F.col("b"), z)).withColumn("_far", F.abs(share("bb", "bl") - share("b", "l")))
+    near = near.groupBy("host", "template").agg(F.min(F.struct("_far", "bl", "bb", "l", "b")).alias("x"))
+    near = near.select("host", "template", (F.col("x.bl") + F.col("x.l")).alias("bl"), (F.col("x.bb") + F.col("x.b")).alias("bb"))
+    evidence = stats.join(own.unionByName(near), ["host", "template"], "left").withColumns({"bl": F.coalesce("bl", "l"), "bb": F.coalesce("bb", "b")})
     host_share = (F.col("hb") + prior * overall) / (F.col("hl") + prior)
-    judged = merged.join(branches, ["host", "parent", "_branch"]).join(hosts, "host")
-    judged = judged.withColumn("purity", (F.col("bb") + prior * host_share) / (F.col("bl") + prior))
-    judged = judged.withColumn("rejected", (F.col("purity") >= reject_at) & (F.col("bl") >= least_labelled))
+    judged = evidence.join(hosts, "host").withColumn("purity", (F.col("bb") + prior * host_share) / (F.col("bl") + prior))
+    judged = judged.withColumn("rejected", F.col("purity") >= reject_at)
     return named.select("host", "shape", "template").join(judged.select("host", "template", "purity", "rejected"), ["host", "template"])
 
 
 def judge(
     pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]] = RULES, id_col: str = "page_id", url_col: str = "url",
-    most_children: int = 16, depth: int = 5, prior: float = 8.0, z: float = 1.96, reject_at: float = 0.5, least_labelled: int = 8,
+    most_children: int = 16, depth: int = 5, prior: float = 8.0, z: float = 1.96, reject_at: float = 0.5, few: int = 8,
 ) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) for every row of pages.
 
@@ -114,7 +140,7 @@ def judge(
     marks = marks.groupBy("page_id").agg(F.max("bad").alias("bad"))
     shapes = rows.join(marks, "page_id", "left").groupBy("host", "shape")
     shapes = work.write(shapes.agg(F.count("*").alias("n"), F.count("bad").alias("labelled"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad")), "shapes")
-    known = work.write(_judged(shapes, most_children, depth, prior, z, reject_at, least_labelled, work), "known")
+    known = work.write(_judged(shapes, most_children, depth, prior, z, reject_at, few, work), "known")
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     said = F.coalesce(verdict, F.when(F.col("rejected"), "block").otherwise("allow"))
     return rows.join(known, ["host", "shape"], "left").select("page_id", "host", "path", rule.alias("rule"), said.alias("verdict"), "template", "purity")

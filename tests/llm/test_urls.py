@@ -1,3 +1,5 @@
+import random
+
 from ossicle.llm import urls
 
 
@@ -56,3 +58,50 @@ def test_similar_branches_share_their_evidence(spark):
     got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "id long, bad int"), []).toPandas()
     assert got.groupby("template").purity.nunique().max() == 1
     assert got[got.template.isin(["/a", "/b", "/c"])].purity.nunique() == 1
+
+
+def verdicts(spark, counts, **more):
+    """The verdicts of one host's paths from {path: (labelled, bad)}; every path has an unlabelled page, too."""
+    rows, marks = [], []
+    for path, (n, bad) in counts.items():
+        for i in range(n + 1):
+            rows.append((len(rows), f"http://h.org{path}"))
+            if i < n:
+                marks.append((len(rows) - 1, int(i < bad)))
+    got = urls.judge(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(marks, "id long, bad int"), [], **more)
+    out = {r.path: (r.verdict, r.purity) for r in got.collect()}
+    assert set(out) == set(counts)
+    return out
+
+
+def brute_purity(counts, few=8, prior=8.0, z=1.96):
+    apart = lambda l, b, m, c: abs((b + 0.5) / (l + 1) - (c + 0.5) / (m + 1)) > z * ((lambda p: p * (1 - p))((b + c + 0.5) / (l + m + 1)) * (1 / (l + 1) + 1 / (m + 1))) ** 0.5  # noqa: E731, E741
+    share = lambda l, b: (b + 0.5) / (l + 1)  # noqa: E731, E741
+    hl, hb = (sum(x[i] for x in counts.values()) for i in (0, 1))
+    host = (hb + prior * hb / max(hl, 1)) / (hl + prior)
+    branches, out = [], {}
+    for _, path in sorted((share(n, b), p) for p, (n, b) in counts.items() if n >= few):
+        n, b = counts[path]
+        if branches and not apart(branches[-1][0], branches[-1][1], n, b):
+            branches[-1] = [branches[-1][0] + n, branches[-1][1] + b, branches[-1][2] + [path]]
+        else:
+            branches.append([n, b, [path]])
+    for n, b, paths in branches:
+        out |= {p: (b + prior * host) / (n + prior) for p in paths}
+    for path, (n, b) in counts.items():
+        if n < few:
+            near = min(((abs(share(x, y) - share(n, b)), x, y) for x, y, _ in branches if n and not apart(x, y, n, b)), default=(0, 0, 0))
+            out[path] = (near[2] + b + prior * host) / (near[1] + n + prior)
+    return out
+
+
+def test_sparse_siblings_bridge_no_branches(spark):
+    got = verdicts(spark, {"/news": (100, 10), "/x": (0, 0), "/y": (1, 1), "/v": (2, 0), "/ads": (100, 89)})
+    assert {p: v for p, (v, _) in got.items()} == {"/news": "allow", "/x": "allow", "/y": "block", "/v": "allow", "/ads": "block"}
+
+
+def test_purity_matches_brute_force(spark):
+    rng = random.Random(9)
+    counts = {f"/p{chr(97 + i)}": (n, rng.randrange(n + 1) if n else 0) for i, n in enumerate((0, 1, 2, 5, 7, 8, 20, 60, 60, 90, 11, 9, 300))}
+    got, want = verdicts(spark, counts), brute_purity(counts)
+    assert all(abs(got[p][1] - want[p]) < 1e-9 and got[p][0] == ("block" if want[p] >= 0.5 else "allow") for p in counts)
