@@ -1,4 +1,4 @@
-"""Queries look at all of their rows and texts: against brute force, as their SQL twins are cut."""
+"""Queries look at all of their rows and texts: against brute force."""
 
 import hashlib
 import math
