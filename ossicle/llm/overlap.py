@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .anchors import mix
 
-#: Counters, how many of them are a row, and the bits of a text's marks.
-SLOTS, BLOCK, MARKS = 1 << 20, 1 << 16, 1024
+#: Counters, how many of them are a row, and the fewest bits of a text's marks.
+SLOTS, BLOCK, MARKS = 1 << 20, 1 << 16, 256
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -98,8 +98,20 @@ def prefix(shingles: np.ndarray, similarity: float, level: np.ndarray) -> np.nda
 
 
 def marks(shingles: np.ndarray) -> bytes:
-    """A bit is 1 if an odd number of a set's members fall on it, so that sets differ in no fewer members than bits."""
-    return np.packbits(np.bincount((shingles % np.uint64(MARKS)).astype(np.int64), minlength=MARKS) & 1 == 1).tobytes()
+    """A bit is 1 if an odd number of a set's members fall on it, so that sets differ in no fewer members than bits.
+
+    There are about as many bits as members, a power of two: marks of larger sets fold onto those of smaller ones.
+    """
+    size = max(MARKS, 1 << max(len(shingles) - 1, 0).bit_length())
+    counts = np.bincount((shingles & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits(counts & 1 == 1, bitorder="little").tobytes()
+
+
+def differing(a: bytes, b: bytes) -> int:
+    """The bits in which marks differ, on as many as the shorter ones have."""
+    x, y = (np.frombuffer(m, np.uint64) for m in (a, b))
+    n = min(len(x), len(y))
+    return int(np.bitwise_count(np.bitwise_xor.reduce(x.reshape(-1, n)) ^ np.bitwise_xor.reduce(y.reshape(-1, n))).sum(dtype=np.int64))
 
 
 def prefixes(rows: DataFrame, words: int, similarity: float, level: np.ndarray) -> DataFrame:
@@ -163,10 +175,9 @@ def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 4))
-                most = (1 - similarity) / (1 + similarity) * batch.column(2).to_numpy()  # differing members of alike sets
-                yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(a ^ b).sum(1, dtype=np.int64) <= most + 1e-6))
+            most = (1 - similarity) / (1 + similarity) * batch.column(2).to_numpy()  # differing members of alike sets
+            bits = [differing(a, b) for a, b in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist())]
+            yield batch.select([0, 1]).filter(pa.array(np.array(bits, np.int64) <= most + 1e-6))
 
     left, right = (marked.withColumnsRenamed({"node": end, "n": f"n{end}", "marks": f"m{end}"}) for end in "uv")
     both = pairs.join(left, "u").join(right, "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), "mu", "mv")

@@ -167,6 +167,8 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
             return left
         wanted = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc", "tag")
         shingles = work.write(once(overlap.sets(keyed.join(wanted, ["doc", "tag"]), words)), "shingles")
+        del wanted
+        sweep(docs.sparkSession)
         found = work.write(overlap.alike(left, shingles, similarity), f"found{turn}")
         work.drop("shingles")
         sweep(docs.sparkSession)

@@ -2,9 +2,10 @@ import random
 import re
 from itertools import combinations
 
+import numpy as np
 import xxhash
 
-from ossicle.llm import simhash
+from ossicle.llm import overlap, simhash
 
 SCHEMA = "doc_id long, text string, lang string, fp string, v long"
 
@@ -152,3 +153,14 @@ def test_no_link_of_the_table_is_lost(spark):
     for d, r in root.items():
         by.setdefault(r, []).append(d)
     assert all(d in linked for x in by.values() if len(x) > 1 for d in x if sets[[k for k, _ in rows].index(d)])
+
+
+def test_marks_differ_in_no_more_bits_than_sets_in_members():
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 5), (10, 12), (300, 340), (300, 900), (5000, 4200), (4097, 4096)):
+        pool = rng.integers(0, 1 << 63, n + m, dtype=np.uint64)
+        for common in (0, min(n, m) // 2, min(n, m)):
+            a, b = np.unique(pool[:n]), np.unique(np.concatenate((pool[:common], pool[n : n + m - common])))
+            differ = len(np.setxor1d(a, b))
+            bits = overlap.differing(overlap.marks(a), overlap.marks(b))
+            assert bits <= differ and (common or bits > 0.2 * min(n, m))
