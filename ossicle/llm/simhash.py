@@ -97,28 +97,20 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, id_col: st
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def _sketched(words: int, slots: int):
-    """Rows of kind 0 with the digest, fingerprint and number of shingles of each text, then counters of kind 1."""
+def _sketched(words: int):
+    """The digest, fingerprint and number of shingles of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter, names = overlap.Counter(slots), ["kind", "doc_id", "doc", "tag", "digest", "fp", "n", "block", "counts"]
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
         for batch in batches:
-            digests, prints, sets, size = [], [], [], 0
+            digests, prints, sizes = [], [], []
             for x in batch.column(3):
                 data = x.as_py()
                 hashes = overlap.word_shingles(data, words)
                 digests.append(xxhash.xxh3_128_digest(b" ".join(data.lower().split())))
                 prints.append(fingerprint(hashes))
-                sets.append(np.unique(hashes))
-            counter.add(sets)
-            n = batch.num_rows
-            columns = [[0] * n, batch.column(0), batch.column(1), batch.column(2), digests, prints, [len(x) for x in sets], [None] * n, [None] * n]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, kinds)], names)
-        if counter.counts.any():
-            blocks = counter.blocks()
-            columns = [[1] * len(blocks), *([None] * len(blocks) for _ in range(6)), *zip(*blocks)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
+                sizes.append(len(np.unique(hashes)))
+            columns = [*batch.columns[:3], pa.array(digests, pa.binary()), pa.array(prints, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "doc", "tag", "digest", "fp", "n"])
 
     return run
 
@@ -139,23 +131,20 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     of their word shingles is at least ``similarity``, and a group is what such links connect.  No link between
     groups is lost: texts whose fingerprints are within ``radius`` bits meet first, by ball
     hashing, and are verified on their shingles; ball hashing can't reach a similarity of 0.8, some 10 of
-    64 bits, so exact prefixes (see :mod:`overlap`) complete it.  There, ``turns`` times each bucket's texts are compared
-    with a centre only, which joins most of them, and at last all that still meet in different groups.
+    64 bits, so exact prefixes (see :mod:`overlap`) complete it.  There, ``turns`` times each text is compared with a few
+    of its buckets' centres only, which joins most of them, and at last all that still meet in different groups.
     """
     work = Workspace(docs.sparkSession, "alike")
     keyed = repeats.keyed(docs, id_col, text_col)
-    schema = "kind int, doc_id long, doc long, tag long, digest binary, fp long, n long, block int, counts binary"
-    keyed.mapInArrow(_sketched(words, slots), schema).write.partitionBy("kind").parquet(work.path("sketched"))
-    sketched = work.read("sketched", schema)
-    rows = sketched.where("kind = 0").select("doc_id", "doc", "tag", "digest", "fp", "n")
+    rows = work.write(keyed.mapInArrow(_sketched(words), "doc_id long, doc long, tag long, digest binary, fp long, n long"), "sketched")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "tag", "fp", "n"))
     nodes = rows.groupBy("digest").agg(least.alias("own")).select("digest", "own.*").withColumn("node", F.monotonically_increasing_id())
     nodes = work.write(nodes, "nodes")
     repeated = not rows.groupBy("doc", "tag").count().where("count > 1").isEmpty()
     once = (lambda df: df.dropDuplicates(["node"])) if repeated else (lambda df: df)
-    level = overlap.levels(sketched.where("kind = 1").select("block", "counts"), rows.agg(F.sum("n")).first()[0] or 0, slots)
-    places = nodes.select("doc", "tag", "node", "n").hint("merge")
-    prefixes = work.write(once(overlap.prefixes(keyed, words, similarity, level).join(places, ["doc", "tag"]).select("node", "n", "sigs", "marks")), "prefixes")
+    total = nodes.agg(F.sum("n")).first()[0] or 0
+    places = nodes.select("doc", "tag", "node").hint("merge")
+    prefixes = work.write(overlap.prefixes(once(keyed.join(places, ["doc", "tag"]).select("node", "data")), words, similarity, total, slots), "prefixes")
     sweep(docs.sparkSession)
     members = work.write(overlap.members(prefixes), "members")
     sweep(docs.sparkSession)
@@ -176,10 +165,11 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
 
     def named(roots: DataFrame) -> DataFrame:
         found = members.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left")
-        return work.write(found.select("sig", "node", "n", F.coalesce("root", "node").alias("root")), "named")
+        return work.write(found.select(*members.columns, F.coalesce("root", "node").alias("root")), "named")
 
     first = overlap.with_centres(members.withColumn("root", F.col("node")), 0, similarity)
-    roots = components(linked(first.unionByName(_ball_pairs(nodes.select("node", "fp"), radius)).distinct(), 0), work)
+    sharing = nodes.join(prefixes.select("node").hint("merge"), "node").select("node", "fp")  # the others are like none
+    roots = components(linked(first.unionByName(_ball_pairs(sharing, radius)).distinct(), 0), work)
     for turn in range(1, turns + 1):
         now = named(roots)
         edges = linked(overlap.across_groups(now, similarity) if turn == turns else overlap.with_centres(now, turn, similarity), turn)

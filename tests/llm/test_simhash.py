@@ -164,3 +164,23 @@ def test_marks_differ_in_no_more_bits_than_sets_in_members():
             differ = len(np.setxor1d(a, b))
             bits = overlap.differing(overlap.marks(a), overlap.marks(b))
             assert bits <= differ and (common or bits > 0.2 * min(n, m))
+
+
+def test_shared_passages_alone_make_no_candidates(spark, monkeypatch):
+    """Texts that share a passage and are mostly their own don't meet, however few hold the passage; near copies still do."""
+    rng = random.Random(5)
+    rows = []
+    for g in range(6):
+        passage = [f"p{g}x{i}" for i in range(30)]
+        for _ in range(8):
+            rows.append((0, " ".join([f"u{rng.randrange(10**9)}" for _ in range(60)] + passage)))
+    rows.append((0, rows[0][1] + " tail"))
+    asked, possible = [], overlap.possible
+
+    def counted(pairs, marked, similarity):
+        asked.append(pairs.count())
+        return possible(pairs, marked, similarity)
+
+    monkeypatch.setattr(overlap, "possible", counted)
+    assert found_groups(spark, rows) == groups(rows)
+    assert sum(asked) <= 3
