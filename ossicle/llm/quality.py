@@ -1,9 +1,9 @@
 """Quality rules: rule statistics of whole texts and an isolation forest over them.
 
 Isolation forest (Liu, Ting and Zhou, 2008): random trees split statistics at random
-values; rows that a few splits set apart have short paths and are anomalous.  The trees are
-grown from labelled rows and the threshold is calibrated on labelled rows; both take a bounded
-sample, ``most_labelled`` rows in the order of a hash of the id.  All rows are scored.
+values; rows that a few splits set apart have short paths and are anomalous.  Usual ranges and the
+threshold are exact over all labelled rows.  Each tree grows from a few rows, as the method has it, drawn from all
+labelled ones.  All rows are scored.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Workspace, texts
+from .work import Workspace, shuffle_partitions, texts
 
 _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -101,9 +101,8 @@ class Ranges:
     how a language or a length spreads the ordinary values.
     """
 
-    def __init__(self, good: np.ndarray, tail: float = 0.001, margin: float = 0.25):
-        width = good.shape[1]
-        self.low, self.high = (np.quantile(good, q, axis=0) if len(good) else np.zeros(width) for q in (tail, 1 - tail))
+    def __init__(self, low: np.ndarray, high: np.ndarray, margin: float = 0.25):
+        self.low, self.high = low, high
         self.unit = np.where(self.high > self.low, self.high - self.low, 1.0)
         self.low, self.high = (x + side * margin * (self.high - self.low) for x, side in ((self.low, -1), (self.high, 1)))
 
@@ -173,14 +172,12 @@ def calibrate(scores: np.ndarray, good: np.ndarray, most_lost: float = 0.005) ->
 
 
 class Judge:
-    """A forest over the excesses of labelled rows, with its threshold."""
+    """A forest over the excesses of drawn rows, with its threshold; low and high: quantiles of good rows."""
 
-    def __init__(self, stats: np.ndarray, good: np.ndarray, trees: int = 100, sample: int = 128, most_lost: float = 0.005):
-        values = features(stats.reshape(-1, len(BASE + EXTRA)))
-        self.ranges = Ranges(values[good])
-        excess = self.ranges.excess(values)
-        self.forest = Forest(excess, trees, sample)
-        self.limit = calibrate(self.forest.score(excess), good, most_lost)
+    def __init__(self, drawn: np.ndarray, low: np.ndarray, high: np.ndarray, trees: int, sample: int):
+        self.ranges = Ranges(low, high)
+        self.forest = Forest(self.ranges.excess(features(drawn)), trees, sample)
+        self.limit = math.inf
 
     def score(self, stats: np.ndarray) -> np.ndarray:
         return self.forest.score(self.ranges.excess(features(stats)))
@@ -191,36 +188,110 @@ def base_failed(stats: np.ndarray, min_words: int, repeat_percent: int) -> np.nd
     return (words < min_words) | (100 * repeat > repeat_percent * words)
 
 
-def _sample(labels: DataFrame, id_col: str, label_col: str, most: int) -> DataFrame:
-    """(doc_id, label) of at most ``most`` labelled rows: those with the smallest hashes of their ids."""
-    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropna()
-    share, order = 1.1 * most / max(marks.count(), 1), F.xxhash64("doc_id")
-    return marks.where(order.cast("double") <= (2 * share - 1) * 2.0**63).orderBy(order, "doc_id", "label").limit(most)
+def _matrix(batch: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.column_stack([batch.column(c).to_numpy() for c in BASE + EXTRA]).astype(float)
 
 
-def _fitted(stats: DataFrame, min_words: int, repeat_percent: int, **more) -> Judge:
-    """A judge from the statistics of sampled rows and their labels."""
-    known = stats.select("doc_id", "label", *BASE, *EXTRA).toPandas().sort_values(["doc_id", "label", *BASE, *EXTRA])
-    values = known[BASE + EXTRA].to_numpy(float).reshape(-1, len(BASE + EXTRA))
-    passed = ~base_failed(values, min_words, repeat_percent)
-    return Judge(values[passed], (known["label"].to_numpy() > 0)[passed], **more)
+def _in_order(x: np.ndarray) -> np.ndarray:
+    """Numbers as uint64 of the same order."""
+    bits = np.ascontiguousarray(x + 0.0).view(np.uint64)
+    return np.where(bits >> np.uint64(63) == 1, ~bits, bits | np.uint64(1 << 63))
+
+
+def _quantiles(good: DataFrame, n: int, shares: tuple[float, ...]) -> np.ndarray:
+    """Exact quantiles of each feature (a row a share) of n rows, interpolated as numpy does.
+
+    Ranks are found 16 bits at a time, so that no more than counts of 2^16 bins a rank reach the driver.
+    """
+    width = features(np.zeros((1, len(BASE + EXTRA)))).shape[1]
+    places = [q * (n - 1) for q in shares]
+    ranks = sorted({int(r) for p in places for r in (math.floor(p), math.ceil(p))})
+    found = {(f, r): (0, r) for f in range(width) for r in ranks}  # leading bits and the rank among what has them
+    for shift in (48, 32, 16, 0):
+        wanted = sorted({(f, head) for (f, _), (head, _) in found.items()})
+
+        def run(batches: Iterator[pa.RecordBatch], shift=shift, wanted=wanted) -> Iterator[pa.RecordBatch]:
+            total: dict[tuple[int, int], int] = {}
+            for batch in batches:
+                keys = _in_order(features(_matrix(batch)))
+                for i, (f, head) in enumerate(wanted):
+                    key = keys[:, f] if shift == 48 else keys[keys[:, f] >> np.uint64(shift + 16) == np.uint64(head), f]
+                    for x, count in zip(*map(np.ndarray.tolist, np.unique(key >> np.uint64(shift) & np.uint64(0xFFFF), return_counts=True))):
+                        total[i, x] = total.get((i, x), 0) + count
+            columns = ([i for i, _ in total], [x for _, x in total], list(total.values()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["i", "bin", "count"])
+
+        counts = good.select(*BASE, *EXTRA).mapInArrow(run, "i long, bin long, count long").groupBy("i", "bin").agg(F.sum("count").alias("count")).toPandas().sort_values(["i", "bin"])
+        bins = {wanted[i]: (part["bin"].to_numpy(), np.cumsum(part["count"].to_numpy())) for i, part in counts.groupby("i")}
+        for (f, r), (head, rank) in found.items():
+            values, ends = bins[f, head]
+            at = int(np.searchsorted(ends, rank, side="right"))
+            found[f, r] = (head << 16 | int(values[at]), rank - (int(ends[at - 1]) if at else 0))
+    keys = np.array([[found[f, r][0] for f in range(width)] for r in ranks], np.uint64)
+    values = dict(zip(ranks, np.where(keys >> np.uint64(63) == 1, keys & np.uint64((1 << 63) - 1), ~keys).view(float)))
+    return np.array([values[math.floor(p)] + (values[math.ceil(p)] - values[math.floor(p)]) * (p - math.floor(p)) for p in places])
+
+
+def _threshold(scored: DataFrame, n_good: int, n_bad: int, most_lost: float, work: Workspace) -> float:
+    """What :func:`calibrate` gives for all rows (score, good) of scored."""
+    if not n_good or not n_bad:
+        return math.inf
+    by = scored.groupBy("score").agg(F.sum(F.col("good").cast("long")).alias("good"), F.count("*").alias("many"))
+    ordered = by.repartitionByRange(shuffle_partitions(by.sparkSession), F.col("score").desc()).withColumn("part", F.spark_partition_id())
+    ordered = work.write(ordered, "scores")
+    parts = ordered.groupBy("part").agg(F.sum("good").alias("good"), F.sum("many").alias("many"), F.max("score").alias("top")).toPandas().sort_values("part")
+    good, many = (dict(zip(parts["part"], parts[c].cumsum() - parts[c])) for c in ("good", "many"))
+    following = dict(zip(parts["part"], parts["top"].shift(-1)))
+
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        table = table.sort_by([("score", "descending")])
+        s, g, m = (table.column(c).to_numpy() for c in ("score", "good", "many"))
+        lost = (int(good[part]) + np.cumsum(g)) / n_good
+        caught = (int(many[part]) - int(good[part]) + np.cumsum(m - g)) / n_bad
+        gain = np.where(lost <= most_lost, caught - lost, -1.0)
+        best = int(np.argmax(gain))
+        after = s[best + 1] if best + 1 < len(s) else following[part]
+        return pa.table({"gain": [float(gain[best])], "score": [float(s[best])], "after": [float(s[best] if np.isnan(after) else after)]})
+
+    best = ordered.groupBy("part").applyInArrow(run, "gain double, score double, after double").toPandas().sort_values(["gain", "score"], ascending=False).iloc[0]
+    return float((best["score"] + best["after"]) / 2) if best["gain"] > 0 else math.inf
+
+
+def _fitted(stats: DataFrame, labels: DataFrame, id_col: str, label_col: str, min_words: int, repeat_percent: int, work: Workspace, trees: int = 100, sample: int = 128, most_lost: float = 0.005, tail: float = 0.001) -> Judge:
+    """A judge from all rows of stats that have labels and pass the base rules."""
+    marks = labels.select(F.col(id_col).cast("long").alias("doc_id"), (F.col(label_col).cast("int") > 0).alias("good")).dropna()
+    passed = (F.col("n_words") >= min_words) & (100 * F.col("n_repeat_words") <= repeat_percent * F.col("n_words"))
+    known = work.write(stats.where(passed).join(marks, "doc_id").select("doc_id", "good", *BASE, *EXTRA), "known")
+    n, n_good = known.agg(F.count("*"), F.coalesce(F.sum(F.col("good").cast("long")), F.lit(0))).first()
+    rows = ["doc_id", "good", *BASE, *EXTRA]
+    drawn = known.orderBy(F.xxhash64(*rows), *rows).limit(trees * sample).toPandas().sort_values(rows)[BASE + EXTRA].to_numpy(float).reshape(-1, len(BASE + EXTRA))
+    width = features(np.zeros((1, len(BASE + EXTRA)))).shape[1]
+    low, high = _quantiles(known.where("good"), n_good, (tail, 1 - tail)) if n_good else np.zeros((2, width))
+    fitted = Judge(drawn, low, high, trees, sample)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(fitted.score(_matrix(batch))), batch.column("good")], ["score", "good"])
+
+    fitted.limit = _threshold(known.mapInArrow(run, "score double, good boolean"), n_good, n - n_good, most_lost, work)
+    return fitted
 
 
 def judge(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    most_labelled: int = 20_000, min_words: int = 50, repeat_percent: int = 50, **more,
+    min_words: int = 50, repeat_percent: int = 50, **more,
 ) -> DataFrame:
     """(doc_id, the statistics of BASE, base_failed, kept, score) for every row of docs.
 
-    labels: (id, label 1 good or 0 bad).  Of at most ``most_labelled`` labelled rows, those that
-    pass the base rules give the usual ranges (the good ones), the trees and the threshold (all); without
+    labels: (id, label 1 good or 0 bad).  All labelled rows that pass the base rules give the usual ranges
+    (the good ones) and the threshold; trees grow from rows drawn from all of them; without
     labels of both kinds the forest keeps everything.  A null text has no words and fails.  Rows with a null id
     are judged, never used as labelled rows.  Repeated rows are judged each; labels that contradict count twice.
     """
     work = Workspace(docs.sparkSession, "quality")
     stats = work.write(document_statistics(docs, id_col, text_col), "stats")
-    sample = F.broadcast(_sample(labels, id_col, label_col, most_labelled))  # most_labelled rows at most
-    fitted = _fitted(stats.join(sample, "doc_id"), min_words, repeat_percent, **more)
+    fitted = _fitted(stats, labels, id_col, label_col, min_words, repeat_percent, work, **more)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -235,13 +306,12 @@ def judge(
 
 def kept(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
-    most_labelled: int = 20_000, min_words: int = 50, repeat_percent: int = 50, **more,
+    min_words: int = 50, repeat_percent: int = 50, **more,
 ) -> DataFrame:
     """The rows of docs that :func:`judge` keeps, with all their columns; texts are not shuffled."""
-    sample = F.broadcast(_sample(labels, id_col, label_col, most_labelled))  # most_labelled rows at most
-    marked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col)).join(sample, "doc_id")
-    stats = document_statistics(marked, "doc_id", text_col).join(sample, "doc_id")
-    fitted = _fitted(stats, min_words, repeat_percent, **more)
+    work = Workspace(docs.sparkSession, "quality")
+    stats = document_statistics(docs, id_col, text_col)
+    fitted = _fitted(stats, labels, id_col, label_col, min_words, repeat_percent, work, **more)
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

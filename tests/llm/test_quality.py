@@ -2,6 +2,8 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
 from ossicle.llm import quality
 
@@ -52,3 +54,32 @@ def test_forest_rejects_held_out_bad_rows(spark):
 def test_calibration():
     assert quality.calibrate(np.array([]), np.array([], bool)) == np.inf
     assert 0.5 < quality.calibrate(np.array([0.9, 0.5, 0.4]), np.array([False, True, True])) < 0.9
+
+
+def test_all_labelled_rows_count(spark):
+    """Bad rows past the first 20,000 in the order of their ids' hashes are learnt too."""
+    good, odd = (" ".join(f"w{k:02}" + "x" * more for k in range(55)) for more in (0, 30))
+    order = Window.orderBy(F.xxhash64("id"))
+    rows = spark.range(20_500).select(F.col("id").alias("doc_id"), (F.row_number().over(order) <= 20_000).cast("int").alias("quality"))
+    frame = rows.withColumn("text", F.when(F.col("quality") > 0, good).otherwise(odd))
+    got = quality.judge(frame.select("doc_id", "text"), frame.select("doc_id", "quality"))
+    assert got.join(rows, "doc_id").where(F.col("kept") != (F.col("quality") > 0)).isEmpty() and got.count() == 20_500
+
+
+def test_ranges_and_threshold_are_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(3_000):
+        good = rng.random() < 0.7
+        words = ["".join(map(chr, rng.integers(97, 123, k))) for k in rng.integers(2, 9 if good else 12, 55)]
+        rows.append((i, " ".join(words), int(good)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    got = quality.judge(frame.select("doc_id", "text"), frame.select("doc_id", "quality")).toPandas().sort_values("doc_id")
+    assert not got.base_failed.any()
+    good = np.array([g > 0 for _, _, g in rows])
+    limit = quality.calibrate(got.score.to_numpy(), good)
+    assert (got.kept.to_numpy() == ~(got.score.to_numpy() > limit)).all() and not got.kept.all()
+    values = quality.features(np.array([quality.statistics(t.encode()) for _, t, _ in rows]))
+    low, high = (np.quantile(values[good], q, axis=0) for q in (0.001, 0.999))
+    inside = ((values >= low) & (values <= high)).all(axis=1)
+    assert got.score.to_numpy()[inside].max() == got.score.min()  # no excess, none more ordinary
