@@ -101,15 +101,15 @@ def _batch(rows: list[tuple]) -> dict[str, pa.Array]:
 
 
 def _asked(words: int, buckets: int, slots: int):
-    """From (node, n, data): a row with the texts of each chunk (its size is negative), and one with its shingles in each bucket."""
+    """From (doc, tag, data): a row with the texts of each chunk (its size is negative), and one with its shingles in each bucket."""
 
-    def flush(chunk: int, nodes: list[int], found: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(chunk: int, nodes: list[tuple[int, int]], found: list[np.ndarray]) -> pa.RecordBatch:
         sizes = np.array([len(x) for x in found])
         slot = mix(np.concatenate(found)) % np.uint64(slots)
         key, sub = (slot & np.uint64(buckets - 1)).astype(np.int64), slot >> np.uint64(buckets.bit_length() - 1)
         order = np.argsort(key.astype(np.uint64) << np.uint64(32) | sub, kind="stable")
         key, sub, which = key[order], sub[order].astype("<u4"), np.repeat(np.arange(len(found), dtype="<u4"), sizes)[order]
-        rows = [(chunk % buckets, chunk, *_packed(-len(nodes), np.array(nodes, "<i8"), sizes.astype("<u4")), [marks(x) for x in found])]
+        rows = [(chunk % buckets, chunk, *_packed(-len(nodes), np.array(nodes, "<i8").T, sizes.astype("<u4")), [marks(x) for x in found])]
         ends = np.searchsorted(key, np.arange(buckets + 1))
         for k in np.flatnonzero(np.diff(ends)):
             a, b = ends[k], ends[k + 1]
@@ -119,10 +119,10 @@ def _asked(words: int, buckets: int, slots: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunk, nodes, found, size = TaskContext.get().partitionId() << 32, [], [], 0
         for batch in batches:
-            for node, data in zip(batch.column(0).to_pylist(), batch.column(1)):
+            for doc, tag, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 own = shingle_set(data.as_py(), words)
                 if len(own):
-                    nodes.append(node)
+                    nodes.append((doc, tag))
                     found.append(own)
                     size += len(own)
                 if size >= FLUSH:
@@ -160,18 +160,18 @@ def _ordered(similarity: float, buckets: int):
     """A chunk's texts that share shingles of their prefixes: those, the slack at each, and the texts' marks."""
 
     def run(table: pa.Table) -> pa.Table:
-        head, slots, docs, counts = None, [], [], []
+        head, slots, texts, counts = None, [], [], []
         for row in table.to_pylist():
             if row["size"] < 0:
                 head = row
             else:
                 sub, which, held = _unpacked(row["body"], *[(row["size"], "<u4")] * 3)
                 slots.append(np.cumsum(sub, dtype="<u4").astype(np.int64) * buckets + row["key"])
-                docs.append(which)
+                texts.append(which)
                 counts.append(held)
-        nodes, n = _unpacked(head["body"], (-head["size"], "<i8"), (-head["size"], "<u4"))
+        docs, tags, n = _unpacked(head["body"], (-head["size"], "<i8"), (-head["size"], "<i8"), (-head["size"], "<u4"))
         n = n.astype(np.int64)
-        slot, doc, held = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (slots, docs, counts))
+        slot, doc, held = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (slots, texts, counts))
         doc = doc.astype(np.int64)
         order = np.lexsort((slot, held, doc))
         slot, doc = slot[order], doc[order]
@@ -186,21 +186,21 @@ def _ordered(similarity: float, buckets: int):
         some = [head["marks"][i] for i in own]
         folds = np.array([folded(m) for m in some], np.int64).reshape(-1, len(FOLDED))
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (slot, slack)]
-        columns = {"node": pa.array(nodes[own]), "n": pa.array(n[own]), "sigs": lists[0], "slacks": lists[1], "marks": pa.array(some, pa.binary())}
+        columns = {"doc": pa.array(docs[own]), "tag": pa.array(tags[own]), "n": pa.array(n[own]), "sigs": lists[0], "slacks": lists[1], "marks": pa.array(some, pa.binary())}
         return pa.table(columns | {m: pa.array(folds[:, i]) for i, m in enumerate(FOLDED)})
 
     return run
 
 
 def prefixes(rows: DataFrame, words: int, similarity: float, total: int, slots: int = SLOTS) -> DataFrame:
-    """(node, n, sigs, slacks, marks, FOLDED) of the texts whose prefixes hold a shingle that is not theirs alone.
+    """(doc, tag, n, sigs, slacks, marks, FOLDED) of the texts whose prefixes hold a shingle that is not theirs alone.
 
-    rows: (node, data), each node once.  total: about how many shingles they hold.
+    rows: (doc, tag, data), each text once.  total: about how many shingles they hold.
     """
     buckets = 1 << max(BUCKETS.bit_length() - 1, (total // BUCKET).bit_length())
-    asked = rows.select("node", "data").mapInArrow(_asked(words, buckets, min(slots, buckets << 32)), _ENTRIES)
+    asked = rows.select("doc", "tag", "data").mapInArrow(_asked(words, buckets, min(slots, buckets << 32)), _ENTRIES)
     counted = asked.groupBy("key").applyInArrow(_counted, _ENTRIES)
-    schema = "node long, n long, sigs array<long>, slacks array<double>, marks binary, " + ", ".join(f"{m} long" for m in FOLDED)
+    schema = "doc long, tag long, n long, sigs array<long>, slacks array<double>, marks binary, " + ", ".join(f"{m} long" for m in FOLDED)
     return counted.groupBy("chunk").applyInArrow(_ordered(similarity, buckets), schema)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import overlap, repeats
 from .components import components
-from .work import Workspace, sweep, texts
+from .work import Workspace, likely, sweep, texts
 
 SEED = 42
 
@@ -140,11 +140,17 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "tag", "fp", "n"))
     nodes = rows.groupBy("digest").agg(least.alias("own")).select("digest", "own.*").withColumn("node", F.monotonically_increasing_id())
     nodes = work.write(nodes, "nodes")
-    repeated = not rows.groupBy("doc", "tag").count().where("count > 1").isEmpty()
-    once = (lambda df: df.dropDuplicates(["node"])) if repeated else (lambda df: df)
+    times = rows.groupBy("doc", "tag").agg(F.count("*").alias("times"))
+    repeated = not times.where("times > 1").isEmpty()
+    once = (lambda df, *by: df.dropDuplicates([*by])) if repeated else (lambda df, *by: df)
     total = nodes.agg(F.sum("n")).first()[0] or 0
     places = nodes.select("doc", "tag", "node").hint("merge")
-    prefixes = work.write(overlap.prefixes(once(keyed.join(places, ["doc", "tag"]).select("node", "data")), words, similarity, total, slots), "prefixes")
+    copies = times.join(places, ["doc", "tag"], "left").where("node is null or times > 1")
+    some, alone = likely(keyed.select("doc", "tag", "data"), copies, ["doc", "tag"])
+    own = alone.unionByName(once(some.join(places, ["doc", "tag"]).select("doc", "tag", "data"), "doc", "tag"))
+    found = overlap.prefixes(own, words, similarity, total, slots)
+    prefixes = work.write(found.join(places, ["doc", "tag"]).drop("doc", "tag"), "prefixes")
+    del copies, some, alone, own, found
     sweep(docs.sparkSession)
     members = work.write(overlap.members(prefixes), "members")
     sweep(docs.sparkSession)
@@ -155,8 +161,9 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
         if left.isEmpty():
             return left
         wanted = left.select(F.explode(F.array("u", "v")).alias("node")).distinct().join(nodes, "node").select("node", "doc", "tag")
-        shingles = work.write(once(overlap.sets(keyed.join(wanted, ["doc", "tag"]), words)), "shingles")
-        del wanted
+        some, _ = likely(keyed.select("doc", "tag", "data"), wanted, ["doc", "tag"])
+        shingles = work.write(once(overlap.sets(some.join(wanted, ["doc", "tag"]), words), "node"), "shingles")
+        del wanted, some, _
         sweep(docs.sparkSession)
         found = work.write(overlap.alike(left, shingles, similarity), f"found{turn}")
         work.drop("shingles")
@@ -193,9 +200,11 @@ def deduplicated(docs: DataFrame, words: int = 5, similarity: float = 0.8, id_co
     winners = groups.groupBy("root").agg(best.alias("own")).select("own.doc", "own.tag", "own.none")
     counted = groups.groupBy("doc", "tag", F.col("doc_id").isNull().alias("none")).agg(F.count("*").alias("n"))
     winners = work.write(winners.join(counted, ["doc", "tag", "none"]), "winners")
+    others = work.write(counted.join(winners.where("n = 1"), ["doc", "tag"], "left_anti").select("doc", "tag"), "others")
     key = repeats.keyed(docs.select(F.col(id_col), F.col(text_col), F.struct(*docs.columns).alias("_row")), id_col, text_col, ["_row"])
-    chosen = key.join(winners.hint("merge"), ["doc", "tag"]).select("doc", "tag", "n", "_row")
-    once = chosen.where("n = 1").select("_row.*")
+    some, alone = likely(key.select("doc", "tag", "_row"), others, ["doc", "tag"])
+    chosen = some.join(winners.hint("merge"), ["doc", "tag"]).select("doc", "tag", "n", "_row")
+    once = alone.select("_row.*").unionByName(chosen.where("n = 1").select("_row.*"))
     if winners.where("n > 1").isEmpty():
         return once
     return once.unionByName(chosen.where("n > 1").dropDuplicates(["doc", "tag"]).select("_row.*"))

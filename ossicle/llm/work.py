@@ -10,6 +10,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Words of 64 bits that the bitmap of :func:`likely` has, a power of two.
+WORDS = 1 << 18
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; only a local session without one gets its own."""
@@ -61,6 +64,21 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def likely(rows: DataFrame, keys: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows whose columns may be among the keys, and those whose certainly aren't; no row moves.
+
+    Hashes of keys set bits of a bitmap of WORDS words at most, which is broadcast.  The more keys, the
+    more other rows are in the first part, where a join has to tell; results of that don't depend on it.
+    """
+    word = F.expr(f"shiftrightunsigned(xxhash64({', '.join(columns)}), 6) & {WORDS - 1}L").alias("_word")
+    bit = F.expr(f"shiftleft(1L, cast(xxhash64({', '.join(columns)}) & 63 as int))").alias("_bit")
+    words = keys.select(word, bit).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+    met = rows.select("*", word, bit).join(F.broadcast(words), "_word", "left")
+    hit = F.coalesce(F.col("_bits").bitwiseAND(F.col("_bit")) != 0, F.lit(False))
+    some, none = met.where(hit), met.where(~hit)
+    return some.select(*rows.columns), none.select(*rows.columns)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

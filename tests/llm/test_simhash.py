@@ -5,7 +5,7 @@ from itertools import combinations
 import numpy as np
 import xxhash
 
-from ossicle.llm import overlap, simhash
+from ossicle.llm import overlap, simhash, work
 
 SCHEMA = "doc_id long, text string, lang string, fp string, v long"
 
@@ -184,3 +184,50 @@ def test_shared_passages_alone_make_no_candidates(spark, monkeypatch):
     monkeypatch.setattr(overlap, "possible", counted)
     assert found_groups(spark, rows) == groups(rows)
     assert sum(asked) <= 3
+
+
+def shuffled(spark, start):
+    """Bytes of shuffle that stages from start on wrote, and the next stage's number."""
+    context = spark.sparkContext
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, context._gateway.new_array(context._jvm.double, 0), None)
+    found = [stages.apply(i) for i in range(stages.size())]
+    return sum(x.shuffleWriteBytes() for x in found if x.stageId() >= start), max((x.stageId() for x in found), default=-1) + 1
+
+
+def test_texts_without_copies_stay_where_they_are(spark):
+    """Only texts that may be copies move, even if no table is small enough to be broadcast by its size."""
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(200, 400)))) for i in range(800)]
+    rows += [(1000 + i, rows[i][1] + " tail") for i in range(10)] + [(2000 + i, rows[20 + i][1].upper()) for i in range(10)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    work_rows = work.Workspace(spark, "moved-test").write(frame, "rows")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        _, start = shuffled(spark, 0)
+        kept = {r.doc_id for r in simhash.deduplicated(work_rows).collect()}
+        moved, _ = shuffled(spark, start)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert kept == set(range(800))
+    assert moved < 1.5 * sum(len(t) for _, t in rows)
+
+
+def test_copies_are_found_whatever_the_bitmap_holds(spark, monkeypatch):
+    """With one word in the bitmap nearly all rows may be among the keys; groups and kept rows are the same."""
+    monkeypatch.setattr(work, "WORDS", 1)
+    rng = random.Random(9)
+    rows = []
+    for i in range(90):
+        base = [f"v{rng.randrange(500)}" for _ in range(rng.randrange(5, 90))]
+        rows += [(i, " ".join(base)), (100 + i, " ".join(base).upper()), (200 + i, " ".join([*base, "tail"]))]
+    rows += [(None, rows[0][1]), (None, None), (7, rows[9][1]), (7, rows[9][1]), (300, ""), (300, "")]
+    assert found_groups(spark, rows) == groups(rows)
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(((r.doc_id, r.text) for r in simhash.deduplicated(frame).collect()), key=str)
+    monkeypatch.setattr(work, "WORDS", 1 << 18)
+    assert got == sorted(((r.doc_id, r.text) for r in simhash.deduplicated(frame).collect()), key=str)
+    assert len(got) == len(groups(rows))
+    keys = spark.createDataFrame([(1, 0), (5, 0)], "doc long, tag long")
+    some, none = work.likely(spark.range(50).selectExpr("id as doc", "0L as tag"), keys, ["doc", "tag"])
+    assert {r.doc for r in some.collect()} >= {1, 5} and some.count() + none.count() == 50
