@@ -1,6 +1,7 @@
 """Ids are those that the tokenizers library gives for the whole text."""
 
 import random
+import time
 
 import public_tokenizers
 import pyarrow.parquet as pq
@@ -64,3 +65,28 @@ def test_other_kinds_of_files_go_to_the_library(tmp_path, change):
     (tmp_path / "t.json").write_text(json.dumps(spec))
     enc = tokens.encoder(str(tmp_path / "t.json"))
     assert enc.units is None and enc.encode("two words").tolist() == enc.tokenizer.encode("two words", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("slots", [2, 64, 1 << 21])
+def test_many_texts_at_once(monkeypatch, slots):
+    monkeypatch.setattr(tokens, "SLOTS", slots)
+    rng, enc = random.Random(slots), tokens.Encoder(PATH)
+    words = [" the", "\nÎle", " çà", ".", "×", "÷a", "A\x00", "\x00", "a\xa0", " " + "x" * 13, " " + "x" * 14, " " + "x" * 15, "\xe9" * 8, "\xc3", "中 b", *PARTS]
+    for _ in range(300):
+        texts = ["".join(rng.choice(words) for _ in range(rng.choice([0, 1, 9, 40]))) for _ in range(rng.randrange(9))]
+        assert [x.tolist() for x in enc.encode_all([t.encode() for t in texts])] == [whole(t) for t in texts]
+    assert enc.table.taken <= slots
+
+
+def test_bytes_that_are_no_text():
+    texts = [b"a \xff b", b"\xc3", b"\xa9 c", "\xe9".encode(), b""]
+    assert [x.tolist() for x in tokens.Encoder(PATH).encode_all(texts)] == [whole(t.decode("utf-8", "replace")) for t in texts]
+
+
+def test_units_met_again_are_not_encoded_again():
+    enc, text, took = tokens.Encoder(PATH), " ".join(f"w{i}" for i in range(600_000)), []
+    for _ in range(2):
+        began = time.thread_time()
+        enc.encode(text)
+        took.append(time.thread_time() - began)
+    assert took[1] < took[0] / 2
