@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import mix
+from .work import lean, lean_group
 
 #: Values that shingles are counted by, shingles a flush, shingles a bucket, and the fewest buckets and bits of a text's marks.
 SLOTS, FLUSH, BUCKET, BUCKETS, MARKS = 1 << 40, 1 << 20, 1 << 20, 256, 512
@@ -134,7 +135,7 @@ def _asked(words: int, buckets: int, slots: int):
     return run
 
 
-def _counted(table: pa.Table) -> pa.Table:
+def _counted(key, table: pa.Table) -> pa.Table:
     """A bucket's entries of slots that several texts hold, with their number; the chunks' own rows go on."""
     heads, rows, parts = [], [], []
     for row in table.to_pylist():
@@ -159,7 +160,7 @@ def _counted(table: pa.Table) -> pa.Table:
 def _ordered(similarity: float, buckets: int):
     """A chunk's texts that share shingles of their prefixes: those, the slack at each, and the texts' marks."""
 
-    def run(table: pa.Table) -> pa.Table:
+    def run(key, table: pa.Table) -> pa.Table:
         head, slots, texts, counts = None, [], [], []
         for row in table.to_pylist():
             if row["size"] < 0:
@@ -198,10 +199,10 @@ def prefixes(rows: DataFrame, words: int, similarity: float, total: int, slots:
     rows: (doc, tag, data), each text once.  total: about how many shingles they hold.
     """
     buckets = 1 << max(BUCKETS.bit_length() - 1, (total // BUCKET).bit_length())
-    asked = rows.select("doc", "tag", "data").mapInArrow(_asked(words, buckets, min(slots, buckets << 32)), _ENTRIES)
-    counted = asked.groupBy("key").applyInArrow(_counted, _ENTRIES)
+    asked = rows.select("doc", "tag", "data").mapInArrow(lean(_asked(words, buckets, min(slots, buckets << 32))), _ENTRIES)
+    counted = asked.groupBy("key").applyInArrow(lean_group(_counted), _ENTRIES)
     schema = "doc long, tag long, n long, sigs array<long>, slacks array<double>, marks binary, " + ", ".join(f"{m} long" for m in FOLDED)
-    return counted.groupBy("chunk").applyInArrow(_ordered(similarity, buckets), schema)
+    return counted.groupBy("chunk").applyInArrow(lean_group(_ordered(similarity, buckets)), schema)
 
 
 def sets(rows: DataFrame, words: int) -> DataFrame:
@@ -212,7 +213,7 @@ def sets(rows: DataFrame, words: int) -> DataFrame:
             found = [shingle_set(x.as_py(), words).tobytes() for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["node", "shingles"])
 
-    return rows.select("node", "data").mapInArrow(run, "node long, shingles binary")
+    return rows.select("node", "data").mapInArrow(lean(run), "node long, shingles binary")
 
 
 def members(prefixes: DataFrame) -> DataFrame:
@@ -284,7 +285,7 @@ def possible(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFram
 
     left, right = (marked.withColumnsRenamed({"node": end, "n": f"n{end}", "marks": f"m{end}"}) for end in "uv")
     both = pairs.join(left, "u").join(right, "v").select("u", "v", (F.col("nu") + F.col("nv")).alias("n"), "mu", "mv")
-    return both.mapInArrow(run, "u long, v long")
+    return both.mapInArrow(lean(run), "u long, v long")
 
 
 def alike(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame:
@@ -300,4 +301,4 @@ def alike(pairs: DataFrame, shingles: DataFrame, similarity: float) -> DataFrame
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     left, right = (shingles.withColumnsRenamed({"node": end, "shingles": name}) for end, name in (("u", "a"), ("v", "b")))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(lean(run), "u long, v long")

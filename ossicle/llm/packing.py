@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .tokens import encoded
-from .work import Workspace, as_bytes, texts
+from .work import Workspace, as_bytes, lean, texts
 
 #: Pieces that one task packs at once.
 GROUP = 40_000
@@ -158,9 +158,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col:
             yield pa.RecordBatch.from_arrays(columns, names)
 
     if not ordered:
-        return texts(docs, id_col, text_col).mapInArrow(run, _PIECES)
+        return texts(docs, id_col, text_col).mapInArrow(lean(run, keep_encoder=True), _PIECES)
     placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_bytes(text_col).alias("data"), order.alias("place"))
-    return placed.mapInArrow(run, f"{_PIECES}, place long")
+    return placed.mapInArrow(lean(run, keep_encoder=True), f"{_PIECES}, place long")
 
 
 def _packed(frame: DataFrame, groups: int, level: int, capacity: int, schema: str, ordered: bool) -> DataFrame:
@@ -194,7 +194,7 @@ def _packed(frame: DataFrame, groups: int, level: int, capacity: int, schema: st
             yield from run((), pa.Table.from_batches(found)).to_batches()
 
     if ordered:
-        return frame.repartitionByRange(groups, "row").mapInArrow(run_range, schema)
+        return frame.repartitionByRange(groups, "row").mapInArrow(lean(run_range, keep_encoder=True), schema)
     grouped = frame.withColumn("g", F.pmod(F.xxhash64("row", F.lit(level)), F.lit(groups)).cast("long"))
     return grouped.groupBy("g").applyInArrow(run, schema)
 

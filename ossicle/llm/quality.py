@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .work import Workspace, shuffle_partitions, texts
+from .work import Workspace, lean, shuffle_partitions, texts
 
 _SYMBOLS, _SPACE = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -323,4 +323,4 @@ def kept(
                 keep[keep] = ~(fitted.score(x[keep]) > fitted.limit)
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import anchors
-from .work import Workspace, as_bytes, shuffle_partitions, sweep
+from .work import Workspace, as_bytes, lean, lean_group, shuffle_partitions, sweep
 
 FLUSH = 1_000_000
 _TABLES = np.random.default_rng(4).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
@@ -358,16 +358,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, more: list[str] = []) ->
 def _settled(rows: DataFrame, search: Search, buckets: int, work: Workspace) -> DataFrame:
     usable = rows.where("doc_id is not null") if search.earlier else rows
     usable = usable.where(F.octet_length("data") >= (2 * search.length - 1 if search.words else search.length))
-    first = usable.select("doc", "tag", "data").mapInArrow(_first_pass(search, buckets), _ENTRIES)
-    return work.write(first.groupBy("kind", "key").applyInArrow(_bucket(search, buckets), _ENTRIES), "settled")
+    first = usable.select("doc", "tag", "data").mapInArrow(lean(_first_pass(search, buckets)), _ENTRIES)
+    return work.write(first.groupBy("kind", "key").applyInArrow(lean_group(_bucket(search, buckets)), _ENTRIES), "settled")
 
 
 def _shards(rows: DataFrame, settled: DataFrame, search: Search, buckets: int, resolve: Callable, work: Workspace) -> DataFrame:
-    asked = settled.where("kind = 2").groupBy("key").applyInArrow(_by_document(_ASKED), "doc long, tag long, start binary, count binary, lead binary, many binary")
+    asked = settled.where("kind = 2").groupBy("key").applyInArrow(lean_group(_by_document(_ASKED)), "doc long, tag long, start binary, count binary, lead binary, many binary")
     # a merge join at any size, in whose partitions nothing grows with the input
     fetched = rows.select("doc", "tag", "data").join(asked.hint("merge"), ["doc", "tag"]).select("doc", "tag", "data", "start", "count", "lead", "many")
-    runs = fetched.mapInArrow(_fetch(search, buckets), _RUNS)
-    return work.write(runs.groupBy("shard").applyInArrow(_shard(search, buckets, resolve), _ENTRIES), "shards")
+    runs = fetched.mapInArrow(lean(_fetch(search, buckets)), _RUNS)
+    return work.write(runs.groupBy("shard").applyInArrow(lean_group(_shard(search, buckets, resolve)), _ENTRIES), "shards")
 
 
 def spans(rows: DataFrame, search: Search, resolve: Callable, work: Workspace, part_bytes: int = 1 << 24) -> DataFrame:
@@ -380,7 +380,7 @@ def spans(rows: DataFrame, search: Search, resolve: Callable, work: Workspace, p
     shards = _shards(rows, settled, search, buckets, resolve, work)
     sweep(spark)
     both = settled.where("kind = 1").unionByName(shards).select("key", *_SPANS)
-    found = both.groupBy("key").applyInArrow(_by_document(_SPANS), "doc long, tag long, start binary, count binary")
+    found = both.groupBy("key").applyInArrow(lean_group(_by_document(_SPANS)), "doc long, tag long, start binary, count binary")
     return work.write(found, "spans")
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from . import overlap, repeats
 from .components import components
-from .work import Workspace, likely, sweep, texts
+from .work import Workspace, lean, likely, sweep, texts
 
 SEED = 42
 
@@ -136,7 +136,7 @@ def alike(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int
     """
     work = Workspace(docs.sparkSession, "alike")
     keyed = repeats.keyed(docs, id_col, text_col)
-    rows = work.write(keyed.mapInArrow(_sketched(words), "doc_id long, doc long, tag long, digest binary, fp long, n long"), "sketched")
+    rows = work.write(keyed.mapInArrow(lean(_sketched(words)), "doc_id long, doc long, tag long, digest binary, fp long, n long"), "sketched")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc", "tag", "fp", "n"))
     nodes = rows.groupBy("digest").agg(least.alias("own")).select("digest", "own.*").withColumn("node", F.monotonically_increasing_id())
     nodes = work.write(nodes, "nodes")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import repeats
-from .work import Workspace
+from .work import Workspace, lean
 
 SHALLOW = 24
 
@@ -226,6 +226,6 @@ def deduplicated(docs: DataFrame, length: int = 50, k: int = 20, id_col: str = "
     carried = repeats.keyed(rows.select(F.col(id_col), F.col(text_col), "_row", "_none"), id_col, text_col, ["_row", "_none"])
     joined = carried.join(found.hint("merge"), ["doc", "tag"], "left").select("data", "start", "count", "_row", "_none")
     kinds = f"_cut string, _row {dict(joined.dtypes)['_row']}, _none boolean"
-    cut = joined.mapInArrow(run, kinds)
+    cut = joined.mapInArrow(lean(run), kinds)
     text = F.when(F.col("_none"), F.lit(None)).otherwise(F.col("_cut"))
     return cut.select(*[text.alias(c) if c == text_col else F.col("_row").getField(c).alias(c) for c in docs.columns])

@@ -228,6 +228,11 @@ def encoder(path: str) -> Encoder:
     return _encoders[key]
 
 
+def forget() -> None:
+    """Drop the encoders that this process has kept."""
+    _encoders.clear()
+
+
 def encoded(column: pa.Array, path: str) -> Iterator[tuple[int, np.ndarray]]:
     """(row, ids) of a column of UTF-8 texts."""
     enc, texts, size, done = encoder(path), [], 0, 0
