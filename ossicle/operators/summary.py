@@ -11,6 +11,23 @@ from pyspark.sql import functions as F
 from ..sources.tables import ENGINES, long_facts
 
 
+def mean(c: Column) -> Column:
+    """The mean, the same in whatever order the rows come: coarse parts and rests are summed on their own.
+
+    Parts in steps of 2^-10 and 2^-36 and what is left add up without rounding for values of common sizes.
+    """
+    rest = lambda v, steps: F.when(F.abs(v) < float("inf"), v - F.rint(v * steps) / steps).otherwise(0.0)
+    low = rest(c, 2.0**10)
+    parts = [F.rint(c * 2.0**10) / 2.0**10, F.rint(low * 2.0**36) / 2.0**36, rest(low, 2.0**36)]
+    a, b, d = (F.sum(F.when(c.isNotNull(), p)) for p in parts)
+    return F.try_divide(a + (b + d), F.count(c))
+
+
+def settled(c: Column | str, digits: int = 6) -> Column:
+    """Rounded, halves up: digits that differ with the order of a sum go first, so that they don't settle a half."""
+    return F.round(F.round(c, digits + 6), digits)
+
+
 def condition_summary(facts: DataFrame) -> DataFrame:
     """A row for each condition, also for those with errors only; deviations divide by n."""
     ok = F.col("status") == "ok"

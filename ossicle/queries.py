@@ -197,7 +197,7 @@ _ROUNDED = ", rs as (select condition_id, kind, family, round(stoi_mean, 6) as s
 
 def _rounded(spark, sf_dir):
     s = _summary(spark, sf_dir).drop(*RANKS)
-    return s.select("condition_id", "kind", "family", *(F.round(c, 6).alias(c) for c in ("stoi_mean", "cross_delta_wer", "hag", "mbsd_mean", "hsr")))
+    return s.select("condition_id", "kind", "family", *(summary.settled(c).alias(c) for c in ("stoi_mean", "cross_delta_wer", "hag", "mbsd_mean", "hsr")))
 
 
 @query(f"with {SUMMARY}{_ROUNDED} select condition_id, rank() over (order by stoi_mean desc) as human_rank, rank() over (order by cross_delta_wer desc) as attack_rank, rank() over (order by hag desc) as gap_rank, rank() over (order by mbsd_mean) as quality_rank from rs where kind <> 'original' union all select condition_id, null, null, null, null from rs where kind = 'original'")
