@@ -435,8 +435,10 @@ def trial_order(spark, sf_dir):
 def paired_join(spark, sf_dir):
     """Rows against their own group's mean."""
     e = T.table(spark, sf_dir, "events")
-    m = e.groupBy("user_id").agg(F.avg("value").alias("v0"))
-    return e.join(m, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(F.col("value") > F.col("v0")).alias("above"))
+    m = e.groupBy("user_id").agg(summary.mean(F.col("value")).alias("v0"))
+    v, m0 = F.col("value"), F.col("v0")
+    above = (v > m0) & (v - m0 > 1e-14 * F.abs(m0))  # a value at the mean isn't above it by what rounding leaves
+    return e.join(m, "user_id").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(above).alias("above"))
 
 
 # statistics.

@@ -53,3 +53,21 @@ def test_equal_conditions_share_their_ranks(spark, tmp_path):
     assert [ranks["c2"][r] for r in queries.RANKS] == [ranks["c4"][r] for r in queries.RANKS]
     over = {r.condition_id: r.dominated_by for r in queries.QUERIES["dominance_rank"](spark, str(tmp_path)).collect()}
     assert over["c2"] == over["c4"]
+
+
+def test_a_value_at_the_mean_is_not_above_it(spark, tmp_path):
+    rng, rows, want = random.Random(2), [], {}
+    while len(want) < 30:
+        xs = [rng.randrange(10000) for _ in range(66)]
+        mean = sum(xs) // 66
+        xs.append(mean * 67 - sum(xs))  # between 0 and some way above the mean
+        xs += [mean] if mean * 67 == sum(xs) else []
+        u = len(want)
+        want[u] = (len(xs), sum(x * len(xs) > sum(xs) for x in xs))
+        rows += [(len(rows) + i, u, x / 100) for i, x in enumerate(xs)]
+    assert any(sum(x > added(v for _, w, v in rows if w == u) / want[u][0] for _, w, x in rows if w == u) != want[u][1] for u in want)
+    spark.createDataFrame(rows, "event_id long, user_id long, value double").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    assert {r.user_id: (r.n, r.above) for r in queries.QUERIES["paired_join"](spark, str(tmp_path)).collect()} == want
+    odd = spark.createDataFrame([(1, 0.5), (1, None), (2, None), (3, float("inf")), (3, 1.0), (4, float("nan")), (5, 1e300), (5, 3e300), (6, 1e-300)], "k int, v double")
+    got = {r.k: r.m for r in odd.groupBy("k").agg(summary.mean(F.col("v")).alias("m")).collect()}
+    assert got[1] == 0.5 and got[2] is None and got[3] == float("inf") and np.isnan(got[4]) and np.isclose(got[5], 2e300) and np.isclose(got[6], 1e-300)
