@@ -25,6 +25,7 @@ class Transform:
 
 _NOT_PARAMETERS = set("condition_index sample_index type name".split())
 _known: dict[str, Transform] = {}
+_loaded: list[bool] = []
 
 
 def register(key: str, family: str, run: Callable[..., np.ndarray], description: str = "", *, overwrite: bool = False, **defaults: Any) -> Transform:
@@ -50,8 +51,10 @@ def transform(key: str, family: str, **defaults: Any):
 
 
 def load() -> dict[str, Transform]:
-    from . import channel, psychoacoustic, simple, spectral, temporal  # noqa: F401
+    if not _loaded:
+        from . import channel, psychoacoustic, simple, spectral, temporal  # noqa: F401
 
+        _loaded.append(True)
     return _known
 
 
@@ -79,7 +82,8 @@ def apply(key: str, x: np.ndarray, sr: int, params: dict[str, Any] | None = None
         raise ValueError("a waveform has one or two dimensions")
     if not len(x):
         return x
-    return np.nan_to_num(t.run(x, sr, np.random.default_rng(seed), **p), nan=0.0, posinf=1.0, neginf=-1.0)
+    y = t.run(x, sr, np.random.default_rng(seed), **p)
+    return y if np.isfinite(y).all() else np.nan_to_num(y, nan=0.0, posinf=1.0, neginf=-1.0)
 
 
 def chain(steps: list[tuple[str, dict[str, Any]]], x: np.ndarray, sr: int, seed: int = 42) -> np.ndarray:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import registry
 from ..functions.channel import DEFENSES
-from ..functions.metrics import NAMES, all_metrics, stoi_proxy
+from ..functions.metrics import NAMES, Reference, all_metrics, stoi_proxy
 from ..functions.psychoacoustic import budget_noise
 from ..operators import grid, text
 
@@ -40,17 +40,29 @@ def measure(tasks: DataFrame) -> DataFrame:
     """
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for r in part.itertuples(index=False):
-                x = np.asarray(r.waveform if r.waveform is not None else [], float)
-                head = [getattr(r, k) for k in _KEYS[:6]] + [str(r.utt_id), r.spk, len(x) / r.sample_rate]
+        def utterance(x: np.ndarray, tasks: list) -> list[list]:
+            """The rows of conditions that share a waveform: it is looked at once, and what comes of it measured together."""
+            heads, done, what = [], [], {}
+            for i, r in enumerate(tasks):
+                heads.append([getattr(r, k) for k in _KEYS[:6]] + [str(r.utt_id), r.spk, len(x) / r.sample_rate])
                 try:
-                    y = process(x, r.sample_rate, r.kind, r.transform_key, json.loads(r.params_json), registry.seed_of(r.condition_id, r.utt_id))
-                    m = all_metrics(x, y, r.sample_rate)
-                    rows.append([*head, "ok", None, *(m[n] if np.isfinite(m[n]) else None for n in NAMES)])
+                    done.append((i, process(x, r.sample_rate, r.kind, r.transform_key, json.loads(r.params_json), registry.seed_of(r.condition_id, r.utt_id))))
                 except Exception as e:  # noqa: BLE001  a row tells what went wrong
-                    rows.append([*head, "error", f"{type(e).__name__}: {e}"[:200], *[None] * len(NAMES)])
+                    what[i] = f"{type(e).__name__}: {e}"[:200]
+            table = np.full((len(tasks), len(NAMES)), np.nan)
+            table[[i for i, _ in done]] = Reference(x, tasks[0].sample_rate).table([y for _, y in done]) if done else np.nan
+            return [[*h, "error" if i in what else "ok", what.get(i), *(v if np.isfinite(v) else None for v in row)] for i, (h, row) in enumerate(zip(heads, table.tolist()))]
+
+        for part in parts:
+            rows, tasks, x = [], [], np.zeros(0)
+            for r in part.itertuples(index=False):
+                w = np.asarray(r.waveform if r.waveform is not None else [], float)
+                if tasks and (tasks[0].sample_rate != r.sample_rate or not np.array_equal(x, w, equal_nan=True)):
+                    rows += utterance(x, tasks)
+                    tasks = []
+                x = w
+                tasks.append(r)
+            rows += utterance(x, tasks) if tasks else []
             yield pd.DataFrame(rows, columns=[*_KEYS, "dur_s", "status", "error", *NAMES])
 
     return tasks.select(*_KEYS, "sample_rate", "waveform").mapInPandas(run, _ROWS)

@@ -23,7 +23,10 @@ def short_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's prices in order of shipping, centred and scaled: some 600 samples each."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.array_sort(F.collect_list(F.struct(*order))).alias("s"))
+    # dealt by number: what follows costs far more than the bytes say by which partitions are put together
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", *order).repartition(parts, "l_suppkey")
+    rows = rows.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("s"))
     return rows.select(F.col("l_suppkey").alias("utt_id"), (F.col("l_suppkey") % 10).cast("string").alias("spk"), F.lit(RATE).alias("sample_rate"), F.transform("s", lambda r: r["l_extendedprice"] / 50000 - 1).alias("waveform"))
 
 
@@ -55,7 +58,11 @@ def ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("event_type").alias("condition"), F.col("user_id").alias("utt_id"), model.alias("model"), params.alias("params_m"), (F.abs(F.col("value")) / 500 * F.pow(params / 39, F.lit(-0.5)) + 0.001).alias("wer"))
 
 
+def hashed(*parts: Column | str | int) -> Column:
+    """The hexadecimal md5 of the text of the parts."""
+    return F.md5(F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts)).cast("binary"))
+
+
 def uniform(*parts: Column | str | int) -> Column:
     """A draw in [0, 1) from the text of its parts: the same wherever it runs, and in other engines."""
-    text = F.concat_ws("|", *(p.cast("string") if isinstance(p, Column) else F.lit(str(p)) for p in parts))
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
+    return F.conv(F.substring(hashed(*parts), 1, 8), 16, 10).cast("double") / 4294967296.0
