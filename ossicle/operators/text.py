@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.kernels import edit_counts
 
 
@@ -30,15 +33,20 @@ def word_error_rate(ref: Column, hyp: Column) -> Column:
 
     For pairs with up to 50,000 different words; null for an empty reference.
     """
-    r, h = words(ref), words(hyp)
-    seen = F.array_distinct(F.concat(r, h))
-    code = lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(seen, w) + 256), 4, "0")), "UTF-16BE")), "")
-    return F.when(F.size(r) > 0, F.levenshtein(code(r), code(h)) / F.size(r))
+    # each is bound once: within the lambdas they would be split and compared anew for each word
+    def rate(r: Column, h: Column) -> Column:
+        code = lambda seen: lambda ws: F.array_join(F.transform(ws, lambda w: F.decode(F.unhex(F.lpad(F.hex(F.array_position(seen, w) + 256), 4, "0")), "UTF-16BE")), "")
+        return let(F.array_distinct(F.concat(r, h)), lambda seen: F.levenshtein(code(seen)(r), code(seen)(h)) / F.size(r))
+
+    both = F.struct(words(ref).alias("r"), words(hyp).alias("h"))
+    return let(both, lambda b: F.when(F.size(b["r"]) > 0, rate(b["r"], b["h"])))
 
 
 def phonemes(t: Column) -> Column:
     """An estimate from letters and digits; at least one if there is any text."""
-    letters, digits = F.length(F.regexp_replace(t, r"[^\p{L}]", "")), F.length(F.regexp_replace(t, r"[^\p{N}]", ""))
+    # letters go in runs; digits are then looked for among what is left, a fifth of a text
+    rest = F.regexp_replace(t, r"\p{L}+", "")
+    letters, digits = F.length(t) - F.length(rest), F.length(F.regexp_replace(rest, r"[^\p{N}]+", ""))
     n = F.bround(0.96 * letters + 1.5 * digits).cast("long")
     return F.when(n > 0, n).when(F.length(F.trim(t)) > 0, F.lit(1)).otherwise(F.lit(0)).cast("long")
 
@@ -81,15 +89,31 @@ def confusions(df: DataFrame, ref: str, hyp: str) -> DataFrame:
     import difflib
     import re
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            rows = []
-            for a, b in zip(part[ref], part[hyp]):
-                a, b = re.findall("[a-z']+", (a or "").lower()), re.findall("[a-z']+", (b or "").lower())
-                for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, False).get_opcodes():
-                    if op != "equal":
-                        both = min(j - i, m - k)
-                        rows += list(zip(a[i : i + both], b[k : k + both])) + [(w, None) for w in a[i + both : j]] + [(None, w) for w in b[k + both : m]]
-            yield pd.DataFrame(rows, columns=["ref_word", "hyp_word"])
-
-    return df.select(ref, hyp).mapInPandas(run, "ref_word string, hyp_word string").groupBy("ref_word", "hyp_word").agg(F.count("*").alias("n"))
+    def words_of(t: str | None) -> list[str]:
+        return re.findall("[a-z']+", (t or "").lower())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()  # of whole tasks, given out whenever it has grown
+
+        def out() -> pa.RecordBatch:
+            r, h = zip(*seen) if seen else ((), ())
+            batch = pa.record_batch([pa.array(r, pa.string()), pa.array(h, pa.string()), pa.array(seen.values(), pa.int64())], ["ref_word", "hyp_word", "n"])
+            seen.clear()
+            return batch
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 64):
+                part = batch.slice(at, 64)
+                for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
+                    a, b = words_of(a), words_of(b)
+                    for op, i, j, k, m in difflib.SequenceMatcher(None, a, b, False).get_opcodes():
+                        if op != "equal":
+                            both = min(j - i, m - k)
+                            seen.update(zip(a[i : i + both], b[k : k + both]))
+                            seen.update((w, None) for w in a[i + both : j])
+                            seen.update((None, w) for w in b[k + both : m])
+                if len(seen) > 50_000:
+                    yield out()
+        yield out()
+
+    return df.select(ref, hyp).mapInArrow(run, "ref_word string, hyp_word string, n long").groupBy("ref_word", "hyp_word").agg(F.sum("n").alias("n"))

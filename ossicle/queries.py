@@ -345,7 +345,7 @@ def wer_token_map(spark, sf_dir):
     """Word error rate between neighbouring turns, whole ones: DuckDB's edit distance tells too few words apart, so brute force tests it."""
     from pyspark.sql import Window
 
-    c = T.table(spark, sf_dir, "conversations").withColumn("t2", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("t2 is not null")
+    c = T.dealt(T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id").withColumn("t2", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("t2 is not null")
     return c.where(F.size(text.words(F.col("text"))) > 0).select("conv_id", "turn", F.round(text.word_error_rate(F.col("text"), F.col("t2")), 6).alias("wer"))
 
 
@@ -683,7 +683,7 @@ def word_confusion(spark, sf_dir):
     """Aligned words of neighbouring turns that differ."""
     from pyspark.sql import Window
 
-    c = T.table(spark, sf_dir, "conversations").withColumn("t2", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("t2 is not null")
+    c = T.dealt(T.table(spark, sf_dir, "conversations").select("conv_id", "turn", "text"), "conv_id").withColumn("t2", F.lead("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("t2 is not null")
     return text.confusions(c, "text", "t2")
 
 

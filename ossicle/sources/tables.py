@@ -14,6 +14,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over a number of tasks, where what follows costs far more than the bytes say by which partitions are made."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism), *keys)
+
+
 def short_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(utt_id, spk, sample_rate, waveform): 64 samples each."""
     e = table(spark, sf_dir, "embeddings").where("embedding is not null")
@@ -23,9 +29,7 @@ def short_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def long_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A supplier's prices in order of shipping, centred and scaled: some 600 samples each."""
     order = ["l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"]
-    # dealt by number: what follows costs far more than the bytes say by which partitions are put together
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", *order).repartition(parts, "l_suppkey")
+    rows = dealt(table(spark, sf_dir, "lineitem").select("l_suppkey", *order), "l_suppkey")
     rows = rows.groupBy("l_suppkey").agg(F.sort_array(F.collect_list(F.struct(*order))).alias("s"))
     return rows.select(F.col("l_suppkey").alias("utt_id"), (F.col("l_suppkey") % 10).cast("string").alias("spk"), F.lit(RATE).alias("sample_rate"), F.transform("s", lambda r: r["l_extendedprice"] / 50000 - 1).alias("waveform"))
 
