@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import normal_cdf, normal_ppf, t_two_sided
-from ..sources.tables import uniform
-from .summary import average_rank
+from ..sources.tables import dealt, hashed, uniform
+from .summary import value_ranks
 
 def t_p_value(t: Column, df: Column) -> Column:
     return F.pandas_udf(lambda t, df: pd.Series([t_two_sided(a, b) if pd.notna(a) and pd.notna(b) else None for a, b in zip(t, df)]), "double")(t, df)
@@ -53,22 +53,25 @@ def welch() -> tuple[Column, Column]:
 def mann_whitney(frame: DataFrame, by: list[str], group: str, a: str, b: str, value: str) -> DataFrame:
     """U of the first group and its normal score with tie and continuity corrections."""
     rows = frame.where(F.col(group).isin(a, b) & F.col(value).isNotNull())
-    ranked = rows.withColumn("_rank", average_rank(value, by))
-    ties = ranked.groupBy(*by, value).agg(F.count("*").alias("_t")).groupBy(*by).agg(F.sum((F.col("_t") * F.col("_t") * F.col("_t") - F.col("_t")).cast("double")).alias("_ties"))
-    sums = ranked.groupBy(*by).agg(F.count_if(F.col(group) == a).alias("n_a"), F.count_if(F.col(group) == b).alias("n_b"), F.sum(F.when(F.col(group) == a, F.col("_rank"))).alias("_ra"))
+    counts = rows.groupBy(*by, value).agg(F.count("*").alias("_t"), F.count_if(F.col(group) == a).alias("_a"))
+    t = F.col("_t").cast("double")
+    sums = value_ranks(counts, value, "_t", by).groupBy(*by).agg(
+        F.sum("_a").alias("n_a"), F.sum(F.col("_t") - F.col("_a")).alias("n_b"), F.sum(F.when(F.col("_a") > 0, F.col("_a") * F.col("_rank"))).alias("_ra"), F.sum(t * t * t - t).alias("_ties"),
+    )
     n, na, nb = F.col("n_a") + F.col("n_b"), F.col("n_a"), F.col("n_b")
     u = F.col("_ra") - na * (na + 1) / 2
     sd = F.sqrt(na * nb / 12.0 * ((n + 1) - F.col("_ties") / (n * F.greatest(n - 1, F.lit(1)))))
     z = F.when(sd > 0, (F.abs(u - na * nb / 2) - 0.5) / sd)
-    return sums.join(ties, by).select(*by, "n_a", "n_b", u.alias("u"), z.alias("z"))
+    return sums.select(*by, "n_a", "n_b", u.alias("u"), z.alias("z"))
 
 
 def wilcoxon(pairs: DataFrame, by: list[str], a: str, b: str) -> DataFrame:
     """Signed ranks of the differences that aren't zero: the sums of both signs and the lesser."""
     d = F.col(a) - F.col(b)
-    rows = pairs.select(*by, d.alias("_d"), F.abs(d).alias("_abs")).where("_d <> 0").withColumn("_rank", average_rank("_abs", by))
-    plus, minus = F.sum(F.when(F.col("_d") > 0, F.col("_rank")).otherwise(0.0)), F.sum(F.when(F.col("_d") < 0, F.col("_rank")).otherwise(0.0))
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
+    rows = pairs.select(*by, d.alias("_d"), F.abs(d).alias("_abs")).where("_d <> 0")
+    counts = rows.groupBy(*by, "_abs").agg(F.count("*").alias("_n"), F.count_if(F.col("_d") > 0).alias("_up"))
+    plus, minus = F.sum(F.col("_up") * F.col("_rank")), F.sum((F.col("_n") - F.col("_up")) * F.col("_rank"))
+    return value_ranks(counts, "_abs", "_n", by).groupBy(*by).agg(F.sum("_n").alias("n"), plus.alias("w_plus"), minus.alias("w_minus"), F.least(plus, minus).alias("w"))
 
 
 def bonferroni(frame: DataFrame, p: str, alpha: float = 0.05) -> DataFrame:
@@ -101,12 +104,11 @@ def poisson_bootstrap(frame: DataFrame, by: list[str], unit: str, value: str, dr
 
     No group is held together.  The chances go on until a hash of 32 bits can't tell them apart.
     """
-    u, below, chance = F.col("_u"), 0.0, math.exp(-1)
-    weight = F.lit(0)
+    below, chance, limits = 0.0, math.exp(-1), []
     for k in range(1, 13):
-        below += chance
-        weight, chance = weight + (u >= below).cast("int"), chance / k
-    drawn = frame.where(F.col(value).isNotNull()).withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_u", uniform(seed, F.col("_b"), F.col(unit))).withColumn("_w", weight)
+        below, chance = below + chance, chance / k
+        limits.append(below)
+    drawn = dealt(frame.where(F.col(value).isNotNull()).select(*by, unit, value), unit).select(*by, value, unit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_b")).withColumn("_h", hashed(seed, F.col("_b"), F.col(unit))).withColumn("_w", reached("_h", limits))
     means = drawn.groupBy(*by, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
 
@@ -169,10 +171,16 @@ def capacity_points(ladder: DataFrame, original: str) -> DataFrame:
     return means.join(base, "model", "left").select("condition", "model", "params_m", "n", "wer", (F.col("wer") - F.col("base")).alias("delta"), "asr_sr")
 
 
-def poisson_weight(seed: int, draw: Column, unit: Column) -> Column:
-    """How often a unit is in a draw: 0, 1, 2 ... by Poisson chances from one hash, so that draws need no collecting."""
-    u = uniform(seed, draw, unit)
-    return F.when(u < 0.36787944117144233, 0).when(u < 0.7357588823428847, 1).when(u < 0.9196986029286058, 2).when(u < 0.9810118431238462, 3).otherwise(4)
+def reached(h: str, limits: list[float]) -> Column:
+    """How many limits the draw of a hash (see :func:`uniform`) reaches: hexadecimal digits are compared, no number is made."""
+    marks = [math.ceil(x * 2**32) for x in limits]
+    return sum(((F.col(h) >= f"{m:08x}").cast("int") for m in marks if m < 2**32), F.lit(0))
+
+
+def poisson_draws(frame: DataFrame, draw: str, weight: str, unit: str, draws: int, seed: int) -> DataFrame:
+    """A row of frame for each draw, with how often its unit is in it: 0, 1, 2 ... by Poisson chances from one hash, so that draws need no collecting."""
+    drawn = frame.withColumn(draw, F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_h", hashed(seed, F.col(draw), F.col(unit)))
+    return drawn.withColumn(weight, reached("_h", [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462])).drop("_h")
 
 
 def fit_intervals(ladder: DataFrame, w_break: float, draws: int = 50, seed: int = 42) -> DataFrame:
@@ -180,8 +188,9 @@ def fit_intervals(ladder: DataFrame, w_break: float, draws: int = 50, seed: int
 
     The utterances are drawn anew, the same ones for every model, and each draw is fitted.
     """
-    drawn = ladder.withColumn("_b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("_w", poisson_weight(seed, F.col("_b"), F.col("utt_id")))
-    means = drawn.groupBy("condition", "_b", "model", "params_m").agg(F.try_divide(F.sum(F.col("_w") * F.col("wer")), F.sum("_w")).alias("m"))
+    units = dealt(ladder, "utt_id").groupBy("condition", "model", "params_m", "utt_id").agg(F.count("*").alias("_n"), F.sum("wer").alias("_s"))  # a unit's rows are drawn together
+    drawn = poisson_draws(units, "_b", "_w", "utt_id", draws, seed)
+    means = drawn.groupBy("condition", "_b", "model", "params_m").agg(F.try_divide(F.sum(F.col("_w") * F.col("_s")), F.sum(F.col("_w") * F.col("_n"))).alias("m"))
     fits = power_law(means, ["condition", "_b"], "params_m", "m").withColumn("_c", break_capacity(F.col("a"), F.col("b"), w_break))
     cuts = [(c, q, n) for c, p in (("b", "b"), ("_c", "c")) for q, n in ((0.025, f"{p}_low"), (0.975, f"{p}_high"))]
     return fits.groupBy("condition").agg(*(F.percentile(c, F.lit(q)).alias(n) for c, q, n in cuts))
@@ -190,9 +199,9 @@ def fit_intervals(ladder: DataFrame, w_break: float, draws: int = 50, seed: int
 def rank_stability(values: DataFrame, item: str, unit: str, value: str, draws: int = 50, seed: int = 42) -> DataFrame:
     """(item, low, mid, high): 5, 50 and 95% of an item's rank when the units are drawn anew.
 
-    A unit is in a draw as often as :func:`poisson_weight` says.
+    A unit is in a draw as often as :func:`poisson_draws` says.
     """
-    drawn = values.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("w", poisson_weight(seed, F.col("b"), F.col(unit)))
+    drawn = poisson_draws(values, "b", "w", unit, draws, seed)
     means = drawn.groupBy("b", item).agg(F.try_divide(F.sum(F.col("w") * F.col(value)), F.sum("w")).alias("m"))
     ranked = means.withColumn("r", F.rank().over(Window.partitionBy("b").orderBy(F.desc_nulls_last(F.round("m", 9)))))
     return ranked.groupBy(item).agg(*(F.percentile("r", F.lit(q)).alias(n) for q, n in ((0.05, "low"), (0.5, "mid"), (0.95, "high"))))

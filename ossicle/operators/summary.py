@@ -143,15 +143,36 @@ def correlations(frame: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(cells))
 
 
-def average_rank(of: str, by: list[str] = []) -> Column:  # noqa: B006
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(of)) + (F.count("*").over(w.partitionBy(*by, of)) - 1) / 2.0
+def value_ranks(counts: DataFrame, of: str, n: str, by: list[str] = []) -> DataFrame:  # noqa: B006
+    """counts (a row for each value of each group, n rows of it) with ``_rank``, the average rank of the value's rows.
+
+    Only values are ordered, not rows, and none are held: the ranks follow from a running sum.
+    """
+    before = F.sum(n).over(Window.partitionBy(*by).orderBy(of).rowsBetween(Window.unboundedPreceding, -1))
+    return counts.withColumn("_rank", F.coalesce(before, F.lit(0)) + (F.col(n) + 1) / 2.0)
+
+
+def rank_pairs(frame: DataFrame, a: str, b: str) -> DataFrame:
+    """(a, b, _n, ra, rb): the different pairs, how many rows have them and the average ranks of both; for rows without nulls."""
+    pairs = frame.groupBy(a, b).agg(F.count("*").alias("_n"))
+    for c, name in ((a, "ra"), (b, "rb")):
+        ranks = value_ranks(pairs.groupBy(c).agg(F.sum("_n").alias("_c")), c, "_c").select(F.col(c).alias("_v"), F.col("_rank").alias(name))
+        pairs = pairs.join(ranks, F.col(c) == F.col("_v")).drop("_v")
+    return pairs
+
+
+def weighted_corr(x: str, y: str, n: str) -> Column:
+    """Pearson of rows given as pairs with counts; null without variance."""
+    total = lambda c: F.sum(F.col(n) * c)
+    k, x, y = F.sum(n).cast("double"), F.col(x).cast("double"), F.col(y).cast("double")
+    side = lambda v: k * total(v * v) - total(v) * total(v)
+    spread = side(x) * side(y)
+    return F.when(spread > 0, (k * total(x * y) - total(x) * total(y)) / F.sqrt(spread))
 
 
 def spearman(frame: DataFrame, a: str, b: str) -> DataFrame:
     full = frame.where(F.col(a).isNotNull() & F.col(b).isNotNull())
-    ranked = full.select(average_rank(a).alias("ra"), average_rank(b).alias("rb"))
-    return ranked.agg(F.count("*").alias("n"), F.corr("ra", "rb").alias("rho"))
+    return rank_pairs(full, a, b).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), weighted_corr("ra", "rb", "_n").alias("rho"))
 
 
 def distribution(frame: DataFrame, by: list[str], metric: str) -> DataFrame:

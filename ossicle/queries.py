@@ -620,8 +620,8 @@ def events_hourly(spark, sf_dir):
 def rating_correlation(spark, sf_dir):
     """Ratings against a proxy: Pearson and Spearman."""
     j = T.table(spark, sf_dir, "labels").join(T.table(spark, sf_dir, "documents"), "doc_id").select("quality", "n_chars")
-    ranked = j.select("quality", "n_chars", summary.average_rank("n_chars").alias("rn"), summary.average_rank("quality").alias("rq"))
-    return ranked.agg(F.count("*").alias("n"), F.round(F.corr("quality", "n_chars"), 6).alias("pearson"), F.round(F.corr("rq", "rn"), 6).alias("spearman"))
+    ranked = summary.rank_pairs(j, "quality", "n_chars")
+    return ranked.agg(F.sum("_n").alias("n"), F.round(summary.weighted_corr("quality", "n_chars", "_n"), 6).alias("pearson"), F.round(summary.weighted_corr("ra", "rb", "_n"), 6).alias("spearman"))
 
 
 @query("select source, count(*) as n, count(distinct lang) as languages, round(avg((quality = 1)::int), 6) as good from documents left join labels using (doc_id) group by 1")
