@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import ROWS, first_digits
 from ..functions.kernels import normal_cdf, normal_ppf, t_two_sided
 from ..sources.tables import dealt, hashed, uniform
 from .summary import value_ranks
@@ -102,14 +105,51 @@ def bootstrap(frame: DataFrame, by: list[str], order: str, value: str, draws: in
 def poisson_bootstrap(frame: DataFrame, by: list[str], unit: str, value: str, draws: int = 200, alpha: float = 0.05, seed: int = 42) -> DataFrame:
     """Percentile intervals of the mean of all rows: a row is in a draw as often as a Poisson number from its unit's hash says.
 
-    No group is held together.  The chances go on until a hash of 32 bits can't tell them apart.
+    No group is held together, and no row is made for each draw.  The chances go on until a hash of 32 bits can't tell them apart.
     """
     below, chance, limits = 0.0, math.exp(-1), []
     for k in range(1, 13):
         below, chance = below + chance, chance / k
         limits.append(below)
-    drawn = dealt(frame.where(F.col(value).isNotNull()).select(*by, unit, value), unit).select(*by, value, unit, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("_b")).withColumn("_h", hashed(seed, F.col("_b"), F.col(unit))).withColumn("_w", reached("_h", limits))
-    means = drawn.groupBy(*by, "_b").agg(F.try_divide(F.sum(F.col("_w") * F.col(value)), F.sum("_w")).alias("m"))
+    marks = np.array([m for m in (math.ceil(x * 2**32) for x in limits) if m < 2**32], np.uint32)
+    rows = dealt(frame.where(F.col(value).isNotNull()).select(*by, unit, F.col(value).cast("double").alias(value)), unit)
+
+    def few(most: int) -> Iterator[range]:
+        """Runs of draws whose numbers have equally many digits."""
+        at = 0
+        while at < draws:
+            end = min(at + most, draws, 10 ** len(str(at)))
+            yield range(at, end)
+            at = end
+
+    def sums(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Of each batch, its groups' weighted sums and weights by draw: as many rows as groups and draws, whatever the rows."""
+        for part in parts:
+            groups = part.groupby(by, dropna=False, sort=False)
+            code, n = groups.ngroup().to_numpy(), groups.ngroups
+            own = part.loc[~pd.Series(code, index=part.index).duplicated(), by]
+            texts, lengths = [], {}
+            for k, u in enumerate(part["_unit"].tolist()):
+                texts.append(b"" if u is None else f"|{u}".encode())
+                lengths.setdefault(len(texts[-1]), []).append(k)
+            v, total, weight = part[value].to_numpy(), np.zeros((draws, n)), np.zeros((draws, n))
+            for size, places in lengths.items():
+                for at in range(0, len(places), ROWS):
+                    some = np.array(places[at : at + ROWS])
+                    tails = np.frombuffer(b"".join([texts[k] for k in some]), np.uint8).reshape(len(some), size)
+                    for bs in few(max(1, ROWS // len(some))):  # several draws of a few rows at once
+                        heads = np.frombuffer("".join(map(str, bs)).encode(), np.uint8).reshape(len(bs), -1)
+                        both = np.concatenate((np.repeat(heads, len(some), axis=0), np.tile(tails, (len(bs), 1))), axis=1)
+                        w = np.searchsorted(marks, first_digits(f"{seed}|".encode(), both), side="right").reshape(len(bs), -1)
+                        for b, one in zip(bs, w):
+                            total[b] += np.bincount(code[some], one * v[some], n)
+                            weight[b] += np.bincount(code[some], one, n)
+            out = own.loc[own.index.repeat(draws)].reset_index(drop=True)
+            yield out.assign(_b=np.tile(np.arange(draws), n), _s=total.T.ravel(), _w=weight.T.ravel())
+
+    kinds = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by)
+    drawn = rows.select(*by, value, F.col(unit).cast("string").alias("_unit")).mapInPandas(sums, f"{kinds}, _b int, _s double, _w double")
+    means = drawn.groupBy(*by, "_b").agg(F.try_divide(F.sum("_s"), F.sum("_w")).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", F.lit(alpha / 2)).alias("low"), F.percentile("m", F.lit(1 - alpha / 2)).alias("high"))
 
 
